@@ -17,11 +17,13 @@ def iso_text(ts: Column) -> Column:
     Expects session zone UTC (see ``sources.session.prepare``).
     """
     micros = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
-    return (
-        F.when(micros == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(micros % 1000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    digits = F.lpad(micros.cast("string"), 6, "0")
+    fraction = (
+        F.when(micros == 0, F.lit(""))
+        .when(micros % 1000 == 0, F.concat(F.lit("."), F.substring(digits, 1, 3)))
+        .otherwise(F.concat(F.lit("."), digits))
     )
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
 
 
 def plus_hours(ts: Column, hours: int = 1) -> Column:

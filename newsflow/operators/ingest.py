@@ -132,11 +132,13 @@ def read_typed(
         with_corrupt,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "allowSingleQuotes": "false"},
     )
-    keys = F.json_object_keys(F.col(text))
-    kept = df.withColumn("_parsed", F.explode(F.array(parsed))).filter(
-        F.col("_parsed").isNotNull() & F.col(f"_parsed.{corrupt}").isNull() & keys.isNotNull()
+    # Parsed once, in a generator: filters on a projection would be pushed below it and parse again.
+    read = F.struct(parsed.alias("row"), F.json_object_keys(F.col(text)).alias("keys"))
+    row, keys = F.col("_read.row"), F.col("_read.keys")
+    kept = df.withColumn("_read", F.explode(F.array(read))).filter(
+        row.isNotNull() & row[corrupt].isNull() & keys.isNotNull()
     )
     if strict:
         known = F.array(*(F.lit(n) for n in schema.names))
         kept = kept.filter(F.size(F.array_except(keys, known)) == 0)
-    return kept.withColumn(out, F.struct(*(F.col(f"_parsed.{n}").alias(n) for n in schema.names))).drop("_parsed")
+    return kept.withColumn(out, F.struct(*(row[n].alias(n) for n in schema.names))).drop("_read")

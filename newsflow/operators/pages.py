@@ -35,12 +35,19 @@ def clamp(page: int | None = None, size: int | None = None) -> tuple[int, int]:
     return max(1, page), max(1, min(size, MAX_SIZE))
 
 
-def page_of(df: DataFrame, newest: str, key: str, page: int | None = None, size: int | None = None) -> DataFrame:
+def page_of(
+    df: DataFrame,
+    newest: str,
+    key: str,
+    page: int | None = None,
+    size: int | None = None,
+    top_k_rows: int = TOP_K_ROWS,
+) -> DataFrame:
     """Page ``page`` in descending order of ``newest``, equal times by ascending ``key`` (unique, not null)."""
     page, size = clamp(page, size)
     offset = (page - 1) * size
     order = [F.col(newest).desc_nulls_last(), F.col(key).asc()]
-    if offset + size <= TOP_K_ROWS:
+    if offset + size <= top_k_rows:
         return df.orderBy(*order).offset(offset).limit(size)
     return _deep_page(df, newest, key, order, offset, size)
 

@@ -206,6 +206,12 @@ def articles_after(v: Views) -> DataFrame:
     return pages.page_after(v.articles, "published_at", "article_id", (datetime(2024, 1, 2), "5"), 25)
 
 
+@_query
+def deep_page(v: Views) -> DataFrame:
+    """A page beyond the top-k bound (lowered here), cut out of the sorted keys by position."""
+    return pages.page_of(v.analyzed, "publishedAt", "articleId", page=8, size=100, top_k_rows=500)
+
+
 @_query
 def bias_records_page(v: Views) -> DataFrame:
     return pages.bias_records_page(v.bias_records, page=3, size=200)

@@ -148,7 +148,7 @@ class Views:
     def raw_json(self) -> DataFrame:
         """Each document as the JSON a feed would send, sound or with one of twelve defects."""
         shape = _shape(RAW_SHAPES)
-        pad = F.when(shape == 11, F.lit(" \t ")).otherwise(F.lit(""))
+        pad = F.when(shape == 11, F.lit(" \t\u00a0 ")).otherwise(F.lit(""))
 
         def padded(value: Column) -> Column:
             return F.concat(pad, value, pad)
