@@ -60,12 +60,11 @@ def text_field(document: Column, name: str) -> Column:
 def is_falsy(value: Column) -> Column:
     """Absent, null, empty text, zero, false, empty array and empty object all count as missing."""
     kind = type_of(value)
-    as_text = F.to_json(value)
     return (
         F.when(value.isNull() | (kind == "null"), F.lit(True))
-        .when(kind == "string", as_text == '""')
-        .when(kind == "boolean", as_text == "false")
+        .when(kind == "string", F.try_variant_get(value, "$", "string") == "")
+        .when(kind == "boolean", ~F.try_variant_get(value, "$", "boolean"))
         .when(kind == "number", F.try_variant_get(value, "$", "double") == 0)
-        .when(kind == "array", as_text == "[]")
-        .otherwise(as_text == "{}")
+        .when(kind == "array", F.try_variant_get(value, "$[0]", "variant").isNull())
+        .otherwise(F.schema_of_variant(value) == "OBJECT<>")
     )

@@ -31,9 +31,7 @@ BIASED, NEUTRAL, UNKNOWN = "biased", "neutral", "unknown"
 def keyword_hits(text: Column, keywords: Sequence[str] = DEFAULT_KEYWORDS) -> Column:
     """How many of the words occur in the text; each counts once, anywhere, in any case."""
     lowered = F.lower(text)
-    return reduce(
-        lambda total, word: total + F.when(F.contains(lowered, F.lit(word)), 1).otherwise(0), keywords, F.lit(0)
-    )
+    return reduce(lambda total, word: total + F.contains(lowered, F.lit(word)).cast("int"), keywords, F.lit(0))
 
 
 def text_variation(text: Column) -> Column:
@@ -42,6 +40,8 @@ def text_variation(text: Column) -> Column:
 
 
 def keyword_score(text: Column, keywords: Sequence[str] = DEFAULT_KEYWORDS) -> Column:
+    """Score of a text. Select it unconditionally and build on the column: inside a ``when`` branch Spark
+    does not share common parts and would lower the text once per word."""
     hits = F.least(F.lit(HIT_CAP), keyword_hits(text, keywords) * F.lit(PER_HIT))
     return F.round(F.least(F.lit(1.0), hits + text_variation(text) + F.lit(FLOOR)), 3)
 

@@ -2,7 +2,8 @@
 
 The plan counts raw rows with a hash aggregate on (window, title, source): all its buffers have fixed width,
 so it combines before the shuffle and a hot topic reaches its reducer as one row per input partition. The few
-resulting rows are then spread by composite key once, which serves both the second aggregate and ``lag``.
+resulting rows are then spread once by composite key and month, which serves both the second aggregate and
+``lag``.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ def named_source(source: Column) -> Column:
     return F.when(~is_blank(source), source)
 
 
+def _month(window_start: Column) -> Column:
+    return F.trunc(window_start, "month")
+
+
 def _per_source(analyzed: DataFrame, window_ms: int, slide_ms: int | None, ts: str) -> DataFrame:
     slide = None if slide_ms is None else window_length(slide_ms)
     span = F.window(F.col(ts), window_length(window_ms), slide)
@@ -65,13 +70,15 @@ def window_counts(
 
     Windows tumble and are aligned to the epoch; ``slide_ms`` makes them slide. The platform is the last
     non-blank source in the window by time (equal times: the greater name), else ``Unknown``.
+    ``window_month`` is the layout of the result: all windows of a key and month share a partition.
     """
     named = named_source(F.col("sourceName"))
     return (
         _per_source(analyzed, window_ms, slide_ms, ts)
         .withColumn("topic_key", composite_key(F.col("title"), F.col("sourceName")))
-        .repartition("topic_key")
-        .groupBy("topic_key", "span")
+        .withColumn("window_month", _month(F.col("span.start")))
+        .repartition("topic_key", "window_month")
+        .groupBy("topic_key", "window_month", "span")
         .agg(
             F.sum("n").alias("volume"),
             (F.sum("score_sum") / F.sum("scored")).alias("avg_bias_score"),
@@ -88,6 +95,7 @@ def window_counts(
             "avg_bias_score",
             F.col("span.start").alias("window_start"),
             F.col("span.end").alias("window_end"),
+            "window_month",
         )
     )
 
@@ -95,11 +103,23 @@ def window_counts(
 def with_direction(counts: DataFrame) -> DataFrame:
     """Add the previous non-empty window's volume of the same key and the direction against it.
 
-    A key has one row per window here, so the sort behind ``lag`` is bounded by the time span covered.
+    A key that never stops would put its whole history into one task, so ``lag`` runs within each month of a
+    key. The first window of a month takes the last volume of the key's month before, found by a second
+    ``lag`` over one row per key and month. The counts are laid out by key and month already and do not move.
     """
-    by_key = W.partitionBy("topic_key").orderBy("window_start")
-    return counts.withColumn("previous_volume", F.lag("volume").over(by_key)).withColumn(
-        "trend_direction", direction(F.col("volume"), F.col("previous_volume"))
+    by_month = ["topic_key", "window_month"]
+    in_month = W.partitionBy(*by_month).orderBy("window_start")
+    over_months = W.partitionBy("topic_key").orderBy("window_month")
+    lagged = counts.withColumn("_before", F.lag("volume").over(in_month))
+    # Whole rows, though only the volume is wanted: with equal columns (and no filter from an inner join) both
+    # uses of the counts are the same plan, and Spark runs the scan and its shuffles once.
+    closing = counts.groupBy(*by_month).agg(F.max_by(F.struct(*counts.columns), "window_start").alias("_closing"))
+    carried = closing.select(*by_month, F.lag("_closing.volume").over(over_months).alias("_carried"))
+    return (
+        lagged.join(carried, by_month, "left")
+        .withColumn("previous_volume", F.coalesce("_before", "_carried"))
+        .withColumn("trend_direction", direction(F.col("volume"), F.col("previous_volume")))
+        .drop("_before", "_carried", "window_month")
     )
 
 

@@ -74,7 +74,7 @@ def window_counts(v: Views) -> DataFrame:
 @_query
 def sliding_counts(v: Views) -> DataFrame:
     """Windows of a day that start every six hours."""
-    return windows.window_counts(v.analyzed, DAY_MS, DAY_MS // 4)
+    return windows.window_counts(v.analyzed, DAY_MS, DAY_MS // 4).drop("window_month")
 
 
 @_query

@@ -102,8 +102,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT event_id::VARCHAR AS "articleId", event_type AS title, 'src' || (user_id % 4)::VARCHAR AS "sourceName",
                ts AS "publishedAt",
-               CASE WHEN value >= 5 THEN least(1.0::DOUBLE, value / (50.0::DOUBLE * (1 + length(event_type) % 4))) END
-                   AS "biasScore",
+               CASE WHEN value >= 5 THEN
+                   1 - exp(-value / ((1 + length(event_type) % 4) * (1 + length(event_type) % 4) * 25)) END AS "biasScore",
                value < 5 AS "errorFlag"
         FROM events""",
     ),

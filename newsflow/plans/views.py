@@ -33,15 +33,18 @@ RAW_SHAPES, PAYLOAD_SHAPES, MESSAGE_SHAPES = 13, 8, 6
 
 
 def analyzed_of(events: DataFrame) -> DataFrame:
-    """Each event as a scored message: topic = event type, platform = one of four feeds."""
-    weight = 50.0 * (1 + F.length("event_type") % 4)
+    """Each event as a scored message: topic = event type, platform = one of four feeds.
+
+    The score saturates with the value, so means have no short decimal form that could sit on a rounding edge.
+    """
+    step = 1 + F.length("event_type") % 4
     failed = F.col("value") < 5
     return events.select(
         F.col("event_id").cast("string").alias("articleId"),
         F.col("event_type").alias("title"),
         F.concat(F.lit("src"), (F.col("user_id") % 4).cast("string")).alias("sourceName"),
         F.col("ts").alias("publishedAt"),
-        F.when(~failed, F.least(F.lit(1.0), F.col("value") / weight)).alias("biasScore"),
+        F.when(~failed, 1 - F.exp(-F.col("value") / (step * step * 25))).alias("biasScore"),
         failed.alias("errorFlag"),
     )
 
@@ -116,15 +119,20 @@ class Views:
         )
 
     def _records(self, rows: DataFrame, run: int, score: Column, after: str) -> DataFrame:
-        failed = F.contains(F.col("body"), F.lit("@"))
-        kept = F.when(~failed, score)
-        return rows.select(
+        scored = rows.select(
             F.concat("article_id", F.lit(f"-{run}")).alias("record_id"),
             "article_id",
-            kept.alias("bias_score"),
-            score_label(kept).alias("bias_label"),
+            score.alias("_score"),
             (F.col("published_at") + F.expr(after)).alias("analysis_timestamp"),
-            failed.alias("error_flag"),
+            F.contains(F.col("body"), F.lit("@")).alias("error_flag"),
+        ).withColumn("bias_score", F.when(~F.col("error_flag"), F.col("_score")))
+        return scored.select(
+            "record_id",
+            "article_id",
+            "bias_score",
+            score_label(F.col("bias_score")).alias("bias_label"),
+            "analysis_timestamp",
+            "error_flag",
         )
 
     @cached_property
