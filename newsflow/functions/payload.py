@@ -34,17 +34,26 @@ def with_parsed(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn("_probe", F.explode(F.array(probe))).withColumn(out, value).drop("_probe")
 
 
+# First word of a VARIANT's schema, and the JSON type it stands for.
+_KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "BIGINT": "number",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+}
+
+# Fixed value: JSON texts that count as missing.
+_FALSY = r'^(""|false|null|\[\]|\{\}|-?0+(\.0+)?([eE][+-]?[0-9]+)?)\z'
+
+
 def type_of(value: Column) -> Column:
     """Coarse JSON type of a VARIANT: object, array, string, number, boolean, null; SQL null when absent."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.startswith("OBJECT"), F.lit("object"))
-        .when(name.startswith("ARRAY"), F.lit("array"))
-        .when(name == "STRING", F.lit("string"))
-        .when(name == "BOOLEAN", F.lit("boolean"))
-        .when(name == "VOID", F.lit("null"))
-        .when(name.isNotNull(), F.lit("number"))
-    )
+    kinds = F.create_map(*(F.lit(part) for pair in _KINDS.items() for part in pair))
+    return F.try_element_at(kinds, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def field(document: Column, name: str) -> Column:
@@ -59,12 +68,4 @@ def text_field(document: Column, name: str) -> Column:
 
 def is_falsy(value: Column) -> Column:
     """Absent, null, empty text, zero, false, empty array and empty object all count as missing."""
-    kind = type_of(value)
-    return (
-        F.when(value.isNull() | (kind == "null"), F.lit(True))
-        .when(kind == "string", F.try_variant_get(value, "$", "string") == "")
-        .when(kind == "boolean", ~F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "number", F.try_variant_get(value, "$", "double") == 0)
-        .when(kind == "array", F.try_variant_get(value, "$[0]", "variant").isNull())
-        .otherwise(F.schema_of_variant(value) == "OBJECT<>")
-    )
+    return F.coalesce(F.to_json(value).rlike(_FALSY), F.lit(True))

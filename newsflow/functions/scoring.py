@@ -43,7 +43,9 @@ def keyword_score(text: Column, keywords: Sequence[str] = DEFAULT_KEYWORDS) -> C
     """Score of a text. Select it unconditionally and build on the column: inside a ``when`` branch Spark
     does not share common parts and would lower the text once per word."""
     hits = F.least(F.lit(HIT_CAP), keyword_hits(text, keywords) * F.lit(PER_HIT))
-    return F.round(F.least(F.lit(1.0), hits + text_variation(text) + F.lit(FLOOR)), 3)
+    score = F.round(F.least(F.lit(1.0), hits + text_variation(text) + F.lit(FLOOR)), 3)
+    # least() skips nulls, so without the factor a null text would score 1.
+    return score * F.when(text.isNotNull(), F.lit(1.0))
 
 
 def score_label(score: Column) -> Column:
