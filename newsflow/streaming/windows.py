@@ -93,7 +93,11 @@ class PreviousVolume(StatefulProcessor):
 
 
 def stream_directed(counts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming twin of ``operators.windows.with_direction``. State is kept for ever unless ``ttl_ms`` is set."""
+    """Streaming twin of ``operators.windows.with_direction``. State is kept for ever unless ``ttl_ms`` is set.
+
+    A query with expiring state runs batches without end, so give it a processing-time trigger: under
+    ``availableNow`` it would never finish.
+    """
     use_rocksdb(counts.sparkSession)
     return (
         counts.groupBy("topic_key")
