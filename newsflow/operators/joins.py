@@ -1,4 +1,4 @@
-"""Join of a large, possibly skewed side with a side that is unique per key."""
+"""Join of rows with totals of their own groups, where one group may hold a large part of all rows."""
 
 from __future__ import annotations
 
@@ -7,16 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# No task of the join gets more than about this part of all rows because of one key.
+PARTS = 2000
 
-def salted_join(
-    rows: DataFrame, unique: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", salts: int = 32
+
+def join_group_totals(
+    rows: DataFrame, totals: DataFrame, on: Sequence[str], count: str, spread: Column, parts: int = PARTS
 ) -> DataFrame:
-    """Join ``rows`` with ``unique`` on ``on``, cutting every key of ``rows`` into ``salts`` shares.
+    """Inner join of ``rows`` with ``totals``, which has one row per key and the key's row count in ``count``.
 
-    ``spread`` tells rows of one key apart (an id). The unique side is repeated once per salt, so it should be
-    the small one: a key list or per-key totals. Nothing is broadcast by hint; where statistics show that the
-    unique side is small Spark still does so by itself.
+    A key is cut into as many shares as it holds ``1/parts`` of all rows, and its total is repeated once per
+    share; ``spread`` (an id) deals the rows out. Fewer than ``parts`` keys can have more than one share, since
+    their counts add up to the total, so the list of those keys is safe to broadcast at any data size.
     """
-    cut = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return cut.join(copies, [*on, "_salt"], how).drop("_salt")
+    everything = totals.select(F.sum(count)).scalar()
+    cut = totals.withColumn("_shares", F.ceil(F.col(count) * F.lit(parts) / everything).cast("int"))
+    large = cut.filter(F.col("_shares") > 1).select(*on, "_shares")
+    dealt = rows.join(F.broadcast(large), list(on), "left").withColumn(
+        "_share", F.pmod(F.xxhash64(spread), F.coalesce("_shares", F.lit(1))).cast("int")
+    )
+    copies = cut.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    return dealt.drop("_shares").join(copies, [*on, "_share"]).drop("_share")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.operators.joins import salted_join
+from newsflow.operators.joins import join_group_totals
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -59,10 +59,11 @@ def with_latest_score(articles: DataFrame, bias_records: DataFrame) -> DataFrame
 
 
 def _known_articles(bias_records: DataFrame, articles: DataFrame, how: str) -> DataFrame:
-    # One article may own a large share of all records: reduce to ids first, meet the articles, and go back
-    # to the rows with each id cut into shares.
-    ids = bias_records.select("article_id").distinct().join(articles.select("article_id"), "article_id", how)
-    return salted_join(bias_records, ids, ["article_id"], F.col("record_id"), "left_semi")
+    # One article may own a large part of all records: count per id, let the ids meet the articles, and go
+    # back to the rows with large ids cut into shares.
+    per_id = bias_records.groupBy("article_id").agg(F.count(F.lit(1)).alias("_n"))
+    ids = per_id.join(articles.select("article_id"), "article_id", how)
+    return join_group_totals(bias_records, ids, ["article_id"], "_n", F.col("record_id")).drop("_n")
 
 
 def orphan_records(bias_records: DataFrame, articles: DataFrame) -> DataFrame:

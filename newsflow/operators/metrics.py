@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsflow.functions.bands import COLOUR_BANDS, RISK_LEVELS, colour_band
-from newsflow.operators.joins import salted_join
+from newsflow.operators.joins import join_group_totals
+from newsflow.schemas import UNKNOWN_PLATFORM
 
 # Trailing ranges of the velocity chart and the length of its buckets.
 RANGES = {"1H": "INTERVAL 1 HOUR", "24H": "INTERVAL 24 HOURS", "7D": "INTERVAL 7 DAYS", "30D": "INTERVAL 30 DAYS"}
@@ -19,7 +20,7 @@ BUCKET = "4 hours"
 def heatmap(scored_articles: DataFrame) -> DataFrame:
     """Articles per source and colour band, one row per source."""
     band = colour_band(F.col("bias_score"))
-    return scored_articles.groupBy("source_name").agg(
+    return scored_articles.groupBy(F.coalesce("source_name", F.lit(UNKNOWN_PLATFORM)).alias("source_name")).agg(
         F.count(F.lit(1)).alias("articles"), *(F.count_if(band == b).alias(f"{b}_articles") for b in COLOUR_BANDS)
     )
 
@@ -27,12 +28,17 @@ def heatmap(scored_articles: DataFrame) -> DataFrame:
 def articles_by_source(scored_articles: DataFrame, key: str = "article_id") -> DataFrame:
     """Every article with its band and the size of its source's group.
 
-    Members stay rows. Group sizes are counted with map-side combine and joined back with each source cut
+    Members stay rows. Group sizes are counted with map-side combine and joined back with large sources cut
     into shares, so a source that holds a third of all articles never meets in one task.
     """
-    sizes = scored_articles.groupBy("source_name").agg(F.count(F.lit(1)).alias("source_articles"))
-    banded = scored_articles.withColumn("colour_band", colour_band(F.col("bias_score")))
-    return salted_join(banded, sizes, ["source_name"], F.col(key))
+    banded = scored_articles.withColumns(
+        {
+            "source_name": F.coalesce("source_name", F.lit(UNKNOWN_PLATFORM)),
+            "colour_band": colour_band(F.col("bias_score")),
+        }
+    )
+    sizes = banded.groupBy("source_name").agg(F.count(F.lit(1)).alias("source_articles"))
+    return join_group_totals(banded, sizes, ["source_name"], "source_articles", F.col(key))
 
 
 def kpi_summary(trending: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ def _direction() -> dict[str, Column]:
 
 
 # Per table: primary key, and the condition under which a row breaks each rule.
-RULES: dict[str, tuple[str, callable]] = {
+RULES: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
     "articles": (
         "article_id",
         lambda: _null("article_id", "source_url", "title", "body", "source_name", "published_at", "schema_version"),

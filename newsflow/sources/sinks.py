@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,16 +40,14 @@ def absent_rows(
     return with_defaults(first_by(batch, [key], arrival), defaults).join(target.select(key), key, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A parquet table, empty while nothing has been written."""
-    if not _exists(spark, path):
+    try:
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def insert_if_absent(
@@ -62,21 +61,24 @@ def insert_if_absent(
     """Append the batch's unknown keys to a parquet table.
 
     With ``day_of``, a time column fixed by the key (a window bound), the table is partitioned by its day and
-    only the batch's own span of days is read back for the key test.
+    only the batch's own span of days is read back for the key test. The rows are rebalanced by day before the
+    write: small days share a file writer, a large day is split, and no task opens every day.
     """
     spark = batch.sparkSession
-    layout = batch.schema
     if day_of is None:
-        known = read_table(spark, path, layout)
+        known = read_table(spark, path, batch.schema)
         absent_rows(batch, known, key, arrival, defaults).write.mode("append").parquet(path)
         return
-    dated = batch.withColumn("day", F.col(day_of).cast("date"))
-    known = read_table(spark, path, dated.schema)
-    first, last = dated.agg(F.min("day"), F.max("day")).first()
-    if first is None:
-        return
-    known = known.filter(F.col("day").between(first, last))
-    absent_rows(dated, known, key, arrival, defaults).write.mode("append").partitionBy("day").parquet(path)
+    dated = batch.withColumn("day", F.col(day_of).cast("date")).persist()
+    try:
+        first, last = dated.agg(F.min("day"), F.max("day")).first()
+        if first is None:
+            return
+        known = read_table(spark, path, dated.schema).filter(F.col("day").between(first, last))
+        fresh = absent_rows(dated, known, key, arrival, defaults)
+        fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    finally:
+        dated.unpersist()
 
 
 def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
@@ -96,11 +98,7 @@ def insert_batches(
     """``foreachBatch`` function around ``insert_if_absent``."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.persist()
-        try:
-            insert_if_absent(batch, path, key, arrival, day_of, defaults)
-        finally:
-            batch.unpersist()
+        insert_if_absent(batch, path, key, arrival, day_of, defaults)
 
     return write
 

@@ -22,9 +22,10 @@ def _positions(value: Any) -> dict[str, dict[str, int]]:
 def progress_offsets(spark: SparkSession, group: str, progress: Any) -> tuple[DataFrame, DataFrame]:
     """Committed and end offsets of one progress report, ready for ``operators.lag.partition_lag``.
 
-    ``progress`` is ``query.lastProgress`` or its JSON. One row per topic partition.
+    ``progress`` is ``query.lastProgress``, its JSON or a dictionary. One row per topic partition.
     """
-    report = json.loads(progress) if isinstance(progress, str) else progress
+    text = getattr(progress, "json", progress)
+    report = json.loads(text) if isinstance(text, str) else text
     committed, ends = [], []
     for source in report["sources"]:
         for topic, parts in _positions(source["endOffset"]).items():
