@@ -40,8 +40,13 @@ def tag_messages(df: DataFrame, topic: str = "topic", document: str = "document"
     )
 
 
-def normalize_trending(df: DataFrame, now: Column, topic: str = "topic", document: str = "document") -> DataFrame:
-    """Predictions that name a topic, as trending rows with defaults; ``now`` stands in for a missing time."""
+def normalize_trending(
+    df: DataFrame, now: Column, topic: str = "topic", document: str = "document", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Predictions that name a topic, as trending rows with defaults; ``now`` stands in for a missing time.
+
+    ``keep`` names columns of the input to carry along.
+    """
     value = F.col(document)
 
     def text(name: str) -> Column:
@@ -60,6 +65,7 @@ def normalize_trending(df: DataFrame, now: Column, topic: str = "topic", documen
         F.coalesce(text("trendDirection"), F.lit(FLAT)).alias("trend_direction"),
         risk_level(score).alias("risk_level"),
         F.coalesce(text("detectionTimestamp"), text("created_at"), iso_text(now)).alias("updated_at"),
+        *keep,
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from newsflow.functions import payload as js
 from newsflow.functions.bands import plain_score_text
 from newsflow.operators import ingest, lag, latest, live, metrics, pages, predictions, quality, scoring, trending, windows
-from newsflow.plans.views import DAY_MS, SECOND_KEYWORDS, THRESHOLD, Views
+from newsflow.plans.views import DAY_MS, SECOND_KEYWORDS, THRESHOLD, Views, articles_of
 from newsflow.sources import sinks, streams
 from newsflow.sources.seed import seed_tables
 from newsflow.sources.session import fresh_dir
@@ -359,8 +359,7 @@ def constraint_report(v: Views) -> DataFrame:
 
 
 def _english(v: Views) -> DataFrame:
-    english = v.documents.filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("article_id"))
-    return v.articles.join(english, "article_id", "left_semi")
+    return articles_of(v.documents.filter(F.col("lang") == "en"))
 
 
 @_query
@@ -443,6 +442,23 @@ def upsert_latest_stream(v: Views) -> DataFrame:
     return stream_live.read_upserted(v.spark, f"{place}/out")
 
 
+@_query
+def live_tables_stream(v: Views) -> DataFrame:
+    """The message stream through tagging, routing and merging; what each live table holds, by key."""
+    place = fresh_dir(v.spark, "live")
+    v.messages.write.parquet(f"{place}/in")
+    stream = v.spark.readStream.schema(v.messages.schema).parquet(f"{place}/in")
+    drain_batches(stream, stream_live.save_live(f"{place}/out", _now(), ["message_id"]))
+    read = [
+        v.spark.read.parquet(f"{place}/out/{name}").select(F.lit(name).alias("name"), F.col(key).alias("key"))
+        for name, key in stream_live.LIVE_KEYS.items()
+    ]
+    topics = stream_live.read_upserted(v.spark, f"{place}/out/trending").select(
+        F.lit("trending").alias("name"), F.concat_ws("|", "topic_name", "platform", F.col("volume").cast("bigint")).alias("key")
+    )
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(topics)
+
+
 # Sinks
 
 

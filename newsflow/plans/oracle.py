@@ -715,6 +715,24 @@ def statements() -> dict[str, str]:
             ("upserted",),
             f"SELECT * EXCLUDE (first_seen, rn) REPLACE ({_SCORES_ROUNDED}) FROM upserted WHERE rn = 1",
         ),
+        "live_tables_stream": _with(
+            ("tagged",),
+            f"""
+            SELECT 'articles' AS name, json_extract_string(value, '$.articleId') AS key FROM tagged WHERE type = 'article'
+            UNION ALL
+            SELECT 'bursts', json_extract_string(value, '$.eventId') FROM tagged WHERE type = 'burst_event'
+            UNION ALL
+            SELECT 'forecasts', json_extract_string(value, '$.forecastId') FROM tagged WHERE type = 'trend_forecast'
+            UNION ALL
+            SELECT 'trending', topic_name || '|' || platform || '|' || volume FROM (
+                SELECT json_extract_string(value, '$.topicName') AS topic_name,
+                       coalesce(json_extract_string(value, '$.platform'), 'Unknown') AS platform,
+                       coalesce(json_extract_string(value, '$.articleCount'),
+                                json_extract_string(value, '$.predictedVolume')) AS volume,
+                       row_number() OVER (PARTITION BY topic_name, platform ORDER BY message_id DESC) AS rn
+                FROM tagged WHERE topic = 'predictions' AND {_truthy("topicName")}
+            ) WHERE rn = 1""",
+        ),
         "insert_if_absent": _with(
             ("more_bursts",),
             f"SELECT * REPLACE ({_SCORES_ROUNDED}) FROM more_bursts",

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions.scoring import keyword_score, score_label
-from newsflow.operators.latest import first_by
 from newsflow.operators.scoring import score_keywords
 from newsflow.operators.windows import burst_detection, trend_forecast
 from newsflow.schemas import ANALYZED_TOPIC, PREDICTIONS_TOPIC
@@ -49,6 +48,21 @@ def analyzed_of(events: DataFrame) -> DataFrame:
     )
 
 
+def articles_of(documents: DataFrame) -> DataFrame:
+    """Each document as an article: its first line is the title, its length decides the time."""
+    published = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("n_chars").cast("int"))
+    return documents.select(
+        F.col("doc_id").cast("string").alias("article_id"),
+        F.concat(F.lit("https://example.org/"), "source", F.lit("/"), "doc_id").alias("source_url"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("body"),
+        F.col("source").alias("source_name"),
+        published.alias("published_at"),
+        F.lit("1.0").alias("schema_version"),
+        (published + F.expr("INTERVAL 30 MINUTES")).alias("ingested_at"),
+    )
+
+
 def _shape(count: int) -> Column:
     return F.col("doc_id") % count
 
@@ -106,17 +120,7 @@ class Views:
 
     @cached_property
     def articles(self) -> DataFrame:
-        published = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("n_chars").cast("int"))
-        return self.documents.select(
-            F.col("doc_id").cast("string").alias("article_id"),
-            F.concat(F.lit("https://example.org/"), "source", F.lit("/"), "doc_id").alias("source_url"),
-            F.substring_index("text", "\n", 1).alias("title"),
-            F.col("text").alias("body"),
-            F.col("source").alias("source_name"),
-            published.alias("published_at"),
-            F.lit("1.0").alias("schema_version"),
-            (published + F.expr("INTERVAL 30 MINUTES")).alias("ingested_at"),
-        )
+        return articles_of(self.documents)
 
     def _records(self, rows: DataFrame, run: int, score: Column, after: str) -> DataFrame:
         scored = rows.select(
@@ -138,16 +142,8 @@ class Views:
     @cached_property
     def bias_records(self) -> DataFrame:
         """A first run over three languages and a second run, with other words, over the labelled documents."""
-        first = self.articles.join(
-            self.documents.filter(F.col("lang").isin(*SCORED_LANGUAGES)).select(
-                F.col("doc_id").cast("string").alias("article_id")
-            ),
-            "article_id",
-            "left_semi",
-        )
-        second = self.articles.join(
-            self.table("labels").select(F.col("doc_id").cast("string").alias("article_id")), "article_id", "left_semi"
-        )
+        first = articles_of(self.documents.filter(F.col("lang").isin(*SCORED_LANGUAGES)))
+        second = articles_of(self.documents.join(self.table("labels"), "doc_id", "left_semi"))
         return self._records(first, 1, keyword_score(F.col("body")), "INTERVAL 1 HOUR").unionByName(
             self._records(second, 2, keyword_score(F.col("body"), SECOND_KEYWORDS), "INTERVAL 1 DAY")
         )
@@ -261,6 +257,3 @@ class Views:
             ).select(F.lit(group).alias("group_id"), "topic", "partition", "committed")
 
         return read_up_to("live", "2024-01-30 12:00:00").unionByName(read_up_to("nightly", "2024-01-25 00:00:00")), ends
-
-    def first_deliveries(self) -> DataFrame:
-        return first_by(self.deliveries, ["articleId"], ["arrived_at", "title"])

@@ -160,3 +160,42 @@ def test_end_to_end_from_payload_to_prediction(spark, tmp_path):
     assert stored.filter("biasScore between 0 and 1 and not errorFlag").count() == 9
     bursts = windows.burst_detection(stored, 5, MINUTE).collect()
     assert [(b.topic_name, b.platform, b.article_count) for b in bursts] == [("News", "Feed", 9)]
+
+
+def test_live_tables_across_batches(spark, tmp_path):
+    schema = "topic string, value string, at int"
+    batches = [
+        [
+            ("analyzed-news", '{"articleId":"1","title":"first"}', 1),
+            ("predictions", '{"eventId":"e","topicName":"t","articleCount":5}', 2),
+            ("predictions", '{"eventId":', 3),
+        ],
+        [
+            ("analyzed-news", '{"articleId":"1","title":"second"}', 4),
+            ("predictions", '{"forecastId":"f","topicName":"t","platform":null,"predictedVolume":7}', 5),
+            ("predictions", '{"type":"trending_topic","topic_name":"u","platform":"p","volume":1}', 6),
+        ],
+    ]
+    for number, data in enumerate(batches):
+        _write(spark, str(tmp_path / "in"), number, data, schema)
+    write = stream_live.save_live(str(tmp_path / "out"), F.lit("2024-06-01").cast("timestamp"), ["at"])
+    drain_batches(_stream(spark, str(tmp_path / "in"), schema), write)
+    read = {n: spark.read.parquet(str(tmp_path / "out" / n)).collect() for n in stream_live.LIVE_KEYS}
+    assert [r.title for r in read["articles"]] == ["first"]
+    assert [r.eventId for r in read["bursts"]] == ["e"]
+    assert [r.forecastId for r in read["forecasts"]] == ["f"]
+    topics = stream_live.read_upserted(spark, str(tmp_path / "out" / "trending")).collect()
+    assert {(r.topic_name, r.platform): r.volume for r in topics} == {("t", "Unknown"): 7.0, ("u", "p"): 1.0}
+
+
+def test_lag_of_a_live_query(spark, tmp_path):
+    from newsflow.streaming.progress import progress_offsets
+
+    _write(spark, str(tmp_path / "in"), 0, [("1", "t", "s", START, 0.1)])
+    query = _stream(spark, str(tmp_path / "in")).writeStream.format("noop").option(
+        "checkpointLocation", str(tmp_path / "check")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    committed, ends = progress_offsets(spark, "files", query.lastProgress)
+    # Files have no topic partitions, so there is nothing to lag behind.
+    assert committed.count() == ends.count() == 0
