@@ -10,7 +10,7 @@ from newsflow.operators.live import upsert_latest
 from newsflow.sources import sinks, streams
 from newsflow.streaming import live as stream_live
 from newsflow.streaming.run import drain_batches, drain_to_parquet
-from newsflow.streaming.windows import directed_windows, stream_bursts, stream_forecasts
+from newsflow.streaming.windows import directed_windows, stream_forecasts
 
 MINUTE = 60_000
 START = datetime(2024, 1, 1)
@@ -26,8 +26,8 @@ def _write(spark, path, number, data, schema=SCHEMA):
     spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{path}/part={number}")
 
 
-def _stream(spark, path, schema=SCHEMA):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+def _stream(spark, path, schema=SCHEMA, files=1):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
 
 
 BATCHES = [
@@ -47,9 +47,9 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
         _write(spark, str(tmp_path / "in"), number, data)
     whole = spark.createDataFrame([m for data in BATCHES for m in data], SCHEMA)
     last = START + timedelta(minutes=9)
-    bursts = drain_to_parquet(stream_bursts(_stream(spark, str(tmp_path / "in")), 5, MINUTE), str(tmp_path / "b"))
+    directed = drain_to_parquet(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE), str(tmp_path / "d"))
+    bursts, forecasts = windows.to_bursts(directed, 5), windows.to_forecasts(directed, 5)
     assert _settled(bursts) == _settled(windows.burst_detection(whole, 5, MINUTE).filter(F.col("window_end") <= last))
-    forecasts = drain_to_parquet(stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE), str(tmp_path / "f"))
     wanted = windows.trend_forecast(whole, 5, MINUTE).filter(F.col("created_at") <= last)
     assert _settled(forecasts) == _settled(wanted)
     assert bursts.count() == 4 and forecasts.count() == 7
@@ -64,7 +64,8 @@ def test_restart_continues_and_adds_nothing_twice(spark, tmp_path):
             drain_batches(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE), write, checkpoint)
     assert spark.read.parquet(f"{place}/forecasts").count() == 7
     # A new checkpoint replays everything; the ids are the same, so the tables stay as they are.
-    drain_batches(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE), write, str(tmp_path / "again"))
+    replay = _stream(spark, str(tmp_path / "in"), files=100)
+    drain_batches(directed_windows(replay, MINUTE), write, str(tmp_path / "again"))
     assert spark.read.parquet(f"{place}/forecasts").count() == 7
     assert spark.read.parquet(f"{place}/bursts").count() == 4
     directions = {(r.topic_name, r.window_start): r.trend_direction for r in spark.read.parquet(f"{place}/bursts").collect()}
