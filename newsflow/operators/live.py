@@ -102,7 +102,7 @@ def upsert_latest(
 ) -> DataFrame:
     """One row per key, the last to arrive. With ``cap``, the keys that appeared most recently.
 
-    New keys go to the front of the list and known keys keep their place, so the cap ranks by first
+    End ``order`` with a unique column where equal times occur. New keys go to the front of the list and known keys keep their place, so the cap ranks by first
     appearance.
     """
     arrival = F.struct(*order)

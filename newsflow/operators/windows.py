@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from newsflow.functions.bands import direction
 from newsflow.functions.ids import key_uuid
 from newsflow.functions.text import is_blank
-from newsflow.functions.times import plus_hours
+from newsflow.functions.times import parse_iso, plus_hours
 from newsflow.schemas import UNKNOWN_PLATFORM, UNKNOWN_TOPIC
 
 # Default burst threshold (also the forecast baseline) and window length.
@@ -40,6 +40,14 @@ def topic_of(key: Column) -> Column:
     return F.substring_index(key, "|", 1)
 
 
+def with_event_time(analyzed: DataFrame, ts: str = "publishedAt", fallback: str = "analysisTimestamp") -> DataFrame:
+    """Turn the publication text into a timestamp; where it is no real date, the analysis time stands in.
+
+    Windows leave out rows without a time, so every message needs one to be counted.
+    """
+    return analyzed.withColumn(ts, F.coalesce(parse_iso(F.col(ts)), parse_iso(F.col(fallback))))
+
+
 def named_source(source: Column) -> Column:
     """The source if it has a visible name, else null."""
     return F.when(~is_blank(source), source)

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 from newsflow.functions.bands import FLAT
 from newsflow.functions.ids import key_uuid
+from newsflow.operators.ingest import accepted, rejected
 from newsflow.operators.latest import first_by
+from newsflow.operators.windows import to_bursts, to_forecasts
 from newsflow.schemas import ARTICLES, BIAS_RECORDS, UNKNOWN_PLATFORM
 
 PREDICTION_DEFAULTS = {"platform": UNKNOWN_PLATFORM, "trend_direction": FLAT}
@@ -103,6 +105,20 @@ def insert_batches(
     return write
 
 
+def save_validated(accepted_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for validated rows: sound ones to one table, the others with their reason to another."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            append_batch(accepted(batch), accepted_path, batch_id)
+            append_batch(rejected(batch), quarantine_path, batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def article_table_rows(analyzed: DataFrame) -> DataFrame:
     """Analyzed messages as rows of the articles table."""
     published = F.try_to_timestamp("publishedAt")
@@ -149,8 +165,6 @@ def save_predictions(
     bursts_path: str, forecasts_path: str, threshold: int
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function for directed windows: bursts and forecasts from one windowed aggregate."""
-    from newsflow.operators.windows import to_bursts, to_forecasts
-
     def write(batch: DataFrame, _batch_id: int) -> None:
         batch.persist()
         try:

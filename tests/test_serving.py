@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsflow.operators import latest, metrics, pages, predictions, trending
+from newsflow.operators.joins import join_group_totals
 from newsflow.sources.seed import SEED_TOPICS, seed_tables
 
 T0 = datetime(2024, 1, 1)
@@ -201,6 +202,19 @@ def test_heatmap_and_members_with_a_hot_source(rows):
     assert {r.source_articles for r in members if r.source_name == "hot"} == {200}
 
 
+def test_large_keys_are_cut_and_nothing_is_lost(rows):
+    data = [(str(i), "hot" if i % 3 == 0 else f"k{i % 500}") for i in range(6000)]
+    frame = rows(data, "id string, key string")
+    totals = frame.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    joined = join_group_totals(frame, totals, ["key"], "n", F.col("id"), parts=30)
+    assert joined.count() == 6000
+    assert joined.select("id").distinct().count() == 6000
+    assert joined.filter("key = 'hot'").select("n").distinct().collect()[0].n == 2000
+    # The hot key holds a third of all rows, so ten shares of about 200 rows each.
+    shares = joined.filter("key = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(10))).count().collect()
+    assert len(shares) == 10 and max(r["count"] for r in shares) < 300
+
+
 def test_kpis_and_shares(rows):
     topics = rows(
         [("a", "p", 0.7, "critical"), ("b", "q", 0.4, "elevated"), ("c", "p", None, "stable"), ("d", "r", 0.1, "stable")],

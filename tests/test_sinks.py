@@ -78,6 +78,15 @@ def test_articles_once_records_always(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).count() == 4
 
 
+def test_sound_and_broken_rows_part(spark, tmp_path):
+    batch = spark.createDataFrame([("1", None), ("2", "title"), ("3", None)], "articleId string, error_reason string")
+    write = sinks.save_validated(str(tmp_path / "ok"), str(tmp_path / "bad"))
+    for batch_id in (0, 0, 1):
+        write(batch, batch_id)
+    assert spark.read.parquet(str(tmp_path / "ok")).count() == 4
+    assert [r.error_reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["title", "title"]
+
+
 def test_seed_load_is_repeatable(spark, tmp_path):
     for _ in range(2):
         for name, table in seed_tables(spark, T0).items():

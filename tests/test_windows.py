@@ -112,6 +112,13 @@ def test_confidence_and_horizon(rows):
     assert {r.confidence_score for r in windows.trend_forecast(frame, 0, MINUTE).collect()} == {1.0}
 
 
+def test_unreal_dates_are_counted_at_analysis_time(rows):
+    data = [("1", "t", "s", "2024-13-15T10:30:00Z", 0.1, "2024-01-01T00:00:10Z"), ("2", "t", "s", "2024-01-01T00:00:20Z", 0.3, "2024-02-01T00:00:00Z")]
+    frame = rows(data, "articleId string, title string, sourceName string, publishedAt string, biasScore double, analysisTimestamp string")
+    found = _directed(windows.with_event_time(frame)).collect()
+    assert [r.volume for r in found] == [2]
+
+
 def test_sliding_windows(rows):
     found = windows.window_counts(rows(_burst(1, 0), SCHEMA), 3 * MINUTE, MINUTE)
     assert found.count() == 3
