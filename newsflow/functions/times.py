@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def instant(value: datetime) -> Column:
+    """A Python time as a literal. One without a zone stays as it is written; ``lit`` would read it in the zone
+    of the driver's machine."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz" if value.tzinfo is None else "timestamp")
+
+
 def parse_iso(value: Column) -> Column:
     """Text to an instant; null when the text is no real date, for example month 13."""
     return F.try_to_timestamp(value)

@@ -7,12 +7,14 @@ the driver, so beyond ``TOP_K_ROWS`` the page is cut out of the sorted keys by g
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsflow.functions.bands import percent
+from newsflow.functions.times import instant
 from newsflow.operators.latest import latest_scores
 from newsflow.operators.predictions import predictions_union
 from newsflow.operators.trending import trending_topics
@@ -74,14 +76,16 @@ def _deep_page(df: DataFrame, newest: str, key: str, order: list[Column], offset
     return df.join(wanted, key, "left_semi").orderBy(*order)
 
 
-def page_after(df: DataFrame, newest: str, key: str, last: tuple | None, size: int | None = None) -> DataFrame:
+def page_after(
+    df: DataFrame, newest: str, key: str, last: tuple[datetime, str] | None, size: int | None = None
+) -> DataFrame:
     """Keyset page: the rows after ``last = (time, key)`` of the page before; ``None`` starts at the top.
 
     Costs the same on every page, and the time bound reaches the scan as a pushed filter.
     """
     _, size = clamp(None, size)
     if last is not None:
-        time, ident = F.lit(last[0]), F.lit(last[1])
+        time, ident = instant(last[0]), F.lit(last[1])
         df = df.filter((F.col(newest) <= time) & ((F.col(newest) < time) | (F.col(key) > ident)))
     return df.orderBy(F.col(newest).desc_nulls_last(), F.col(key).asc()).limit(size)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +35,9 @@ def _id(kind: str, number: int) -> str:
 def seed_tables(spark: SparkSession, now: datetime) -> dict[str, DataFrame]:
     """The four seed tables. Ids are fixed, so loading them through insert-if-absent twice adds nothing.
 
-    Article bodies repeat the headline; nothing depends on them.
+    Article bodies repeat the headline; nothing depends on them. A ``now`` without a zone is UTC.
     """
+    now = now.replace(tzinfo=UTC) if now.tzinfo is None else now
     articles, records, bursts, forecasts = [], [], [], []
     for n, ((topic, platform, count, volume, confidence, score, mark, label), (slug, title)) in enumerate(
         zip(SEED_TOPICS, SEED_ARTICLES, strict=True), start=1
