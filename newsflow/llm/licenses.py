@@ -92,34 +92,37 @@ SENTENCES = [
 def signature_rules() -> list[tuple[str, str, str, int, float]]:
     """All rules: keyword, regular expression, label, priority, weight."""
     named = [
-        (name.split()[-1], form.format(name), label, priority, weight)
+        (max(name.split(), key=len), form.format(name), label, priority, weight)
         for label, names in NAMES.items()
         for name in names
         for form, priority, weight in FORMS
     ]
-    sentences = [(s.split()[-1] if "(" not in s else k, s, label, p, w) for k, s, label, p, w in SENTENCES]
-    return named + sentences
+    return named + SENTENCES
 
 
-def _places(words: Column, expression: Column) -> Column:
-    """The first and last word numbers of every match, as an array of (start, end); ``words`` is joined by blanks."""
-    whole = F.concat(F.lit("(?<![^ ])(?:"), expression, F.lit(")(?![^ ])"))
-    marked = F.split(F.regexp_replace(words, whole, F.lit("\u0001$0\u0002")), " ")
+def _whole(expression: Column | str) -> Column:
+    """The expression between blanks."""
+    return F.concat(F.lit("(?<= )(?:"), expression if isinstance(expression, Column) else F.lit(expression), F.lit(")(?= )"))
+
+
+def _places(words: Column, expression: Column | str) -> Column:
+    """First and last word numbers of every match, as an array of (start, end); ``words`` has blanks around each word."""
+    marked = F.split(F.trim(F.regexp_replace(words, _whole(expression), F.lit("\u0001$0\u0002"))), " ")
     at = F.transform(marked, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     starts = F.transform(F.filter(at, lambda x: x["w"].startswith("\u0001")), lambda x: x["i"])
     ends = F.transform(F.filter(at, lambda x: x["w"].endswith("\u0002")), lambda x: x["i"])
     return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
 
 
-def _detections(words: Column) -> Column:
-    rules = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(("word", "regex", "label", "priority", "weight"), r, strict=True)])
-            for r in signature_rules()
-        ]
-    )
-    gated = F.filter(rules, lambda r: F.contains(words, r["word"]))
+def _matching_rules(words: Column) -> Column:
+    """The rules whose keyword and then whose expression is found."""
+    names = ("word", "regex", "label", "priority", "weight")
+    rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in signature_rules()])
+    gated = F.filter(rules, lambda r: F.contains(words, F.concat(F.lit(" "), r["word"], F.lit(" "))))
+    return F.filter(gated, lambda r: F.regexp_like(words, _whole(r["regex"])))
+
 
+def _detections(words: Column, rules: Column) -> Column:
     def found(rule: Column) -> Column:
         return F.transform(
             _places(words, rule["regex"]),
@@ -132,7 +135,7 @@ def _detections(words: Column) -> Column:
             ),
         )
 
-    return F.sort_array(F.flatten(F.transform(gated, found)))
+    return F.sort_array(F.flatten(F.transform(rules, found)))
 
 
 def _surviving(detections: Column) -> Column:
@@ -165,14 +168,16 @@ def scan(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(CASED_WORD)).cast("long").alias("n_words"),
         F.when(
             F.regexp_like(text, F.lit(GATE)),
-            F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, " ")),
+            F.concat(F.lit(" "), F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, " "), F.lit(" ")),
         ).alias("words"),
     )
     for phrase, label in BASE.items():
-        places = F.when(F.contains("words", F.lit(phrase)), _places(F.col("words"), F.lit(phrase)))
+        places = F.when(F.contains("words", F.lit(f" {phrase} ")), _places(F.col("words"), phrase))
         rows = rows.withColumn(f"at_{label}", F.coalesce(places, no_places))
-    survivors = F.when(F.col("words").isNotNull(), _surviving(_detections(F.col("words"))))
-    rows = rows.withColumn("hits", F.coalesce(survivors, no_hits))
+    # Each step is a column that the next one names twice; written in one, the steps would be repeated.
+    rows = rows.withColumn("rules", F.when(F.col("words").isNotNull(), _matching_rules(F.col("words"))))
+    rows = rows.withColumn("found", F.when(F.size("rules") > 0, _detections(F.col("words"), F.col("rules"))))
+    rows = rows.withColumn("hits", F.coalesce(F.when(F.size("found") > 0, _surviving(F.col("found"))), no_hits))
     places = F.concat(*[F.transform(f"at_{label}", lambda p: p["start"]) for label in BASE.values()])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in BASE.values()]))
     rows = rows.withColumns({"places": places, "base": base_labels})
