@@ -8,10 +8,10 @@ symbols left out, 48 keys in all, and all pairs below that distance share a key.
 share one with a chance of 0.262^12, one in ten million, of similarity 0.8 one in 800 million.
 
 Documents with equal sets are one class, and only classes are indexed. Whoever shares a key is a candidate; links are
-confirmed on the full sets. Since the result is components, not links, candidates are taken in two rounds. First
-every class is compared with the smallest and the largest class of each of its keys. What that confirms is connected.
-Then, where a key still holds several components, the classes outside its most frequent component are compared
-with all classes of the other components there. Every candidate pair is thus compared or known to be connected already; a
+confirmed on the full sets. Since the result is components, not links, candidates are taken in rounds. First every class
+is compared with one class of each of its keys, drawn by a hash. What that confirms is connected. Where a key still holds
+several components, the classes outside its most frequent component are compared with one class of that, twice over. At
+last, those that are still outside are compared with all classes of the other components there. Every candidate pair is thus compared or known to be connected already; a
 group of thousands of near copies costs a few comparisons for each member and not all its pairs.
 
 Null ids can't be linked: such rows are their own component (null) and stay. Rows that share an id are one document.
@@ -37,6 +37,7 @@ SHINGLE = 5
 CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
 LINK_OF_100 = 75
+STAR_ROUNDS = 2
 KEPT_WORDS = 1_000_000
 SKETCHES = "doc_id long, n_shingles long, set_key binary, keys array<long>"
 SETS = "node long, shingles array<long>"
@@ -137,7 +138,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (set_key, node, copies), and (key, node, smallest, largest) of each key that several classes share."""
+    """Classes (set_key, node, copies), and (key, node, star) of each key that several classes share."""
     classes = staged(
         sketches.filter("doc_id is not null").groupBy("set_key").agg(
             F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys")
@@ -145,39 +146,52 @@ def _shared(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
         "classes",
     )
     indexed = classes.select(F.explode("keys").alias("key"), "node")
-    groups = indexed.groupBy("key").agg(
-        F.min("node").alias("smallest"), F.max("node").alias("largest"), F.count("*").alias("members")
-    )
-    several = groups.filter("smallest < largest")
+    groups = indexed.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("star"), F.count("*").alias("members"))
+    several = groups.filter("members > 1")
     return classes.drop("keys"), staged(
         join_group_totals(indexed, several, ["key"], "members", spread=F.col("node")).drop("members"), "shared-keys"
     )
 
 
-def _first_pairs(shared: DataFrame) -> DataFrame:
-    """Every class with the smallest and the largest class of its keys."""
-    ends = F.explode(F.array_distinct(F.array("smallest", "largest")))
-    return shared.select(F.col("node").alias("a"), ends.alias("b")).filter("a != b").distinct()
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
 
+def _open_keys(shared: DataFrame, links: DataFrame, salt: int) -> DataFrame:
+    """(key, node, component, most, star) of the keys that still hold several components.
 
-def _remaining_pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a key, ordered."""
+    ``most`` is the most frequent component of the key and ``star`` one of its classes there.
+    """
+    found = components(links)
     labelled = (
         shared.select("key", "node")
         .join(found, "node", "left")
         .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("members"))
+    parts = labelled.groupBy("key", "component").agg(
+        F.count("*").alias("members"), F.min_by("node", F.xxhash64("key", "node", F.lit(salt))).alias("star")
+    )
+    size = F.struct("members", "component")
     split = (
-        sizes.groupBy("key")
-        .agg(F.max_by("component", F.struct("members", "component")).alias("most"), F.count("*").alias("parts"), F.sum("members").alias("members"))
+        parts.groupBy("key")
+        .agg(F.max_by(F.struct("component", "star"), size).alias("top"), F.count("*").alias("parts"), F.sum("members").alias("members"))
         .filter("parts > 1")
-        .drop("parts")
+        .select("key", F.col("top.component").alias("most"), F.col("top.star").alias("star"), "members")
     )
-    open_keys = staged(join_group_totals(labelled, split, ["key"], "members", spread=F.col("node")).drop("members"), "open-keys")
-    fewer = open_keys.filter("component != most").select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
-    pairs = fewer.join(open_keys.select("key", F.col("node").alias("b"), "component"), "key").filter("_c != component")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return staged(join_group_totals(labelled, split, ["key"], "members", spread=F.col("node")).drop("members"), "open-keys")
+
+
+def _all_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect all that is connected."""
+    links = staged(_confirmed(_ordered(shared, "node", "star"), sets), "links-0")
+    for salt in range(1, STAR_ROUNDS + 1):
+        fewer = _open_keys(shared, links, salt).filter("component != most")
+        links = links.unionByName(staged(_confirmed(_ordered(fewer, "node", "star"), sets), f"links-{salt}"))
+    still_open = _open_keys(shared, links, 0)
+    fewer = still_open.filter("component != most").select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
+    others = still_open.select("key", F.col("node").alias("b"), "component")
+    pairs = staged(_ordered(fewer.join(others, "key").filter("_c != component"), "a", "b"), "remaining")
+    return links.unionByName(staged(_confirmed(pairs, sets), "links-last"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -189,9 +203,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     # Classes that share no key need no set. A node's text is the one whose set it stands for.
     members = texts.join(nodes, texts["doc_id"] == nodes["node"]).select("node", "text")
     sets = staged(members.mapInArrow(set_batches, SETS), "sets")
-    links = staged(_confirmed(_first_pairs(shared), sets), "first-links")
-    later = _confirmed(staged(_remaining_pairs(shared, components(links)), "remaining"), sets)
-    found = components(links.unionByName(later))
+    found = components(_all_links(shared, sets))
     labelled = classes.join(found, "node", "left").select(
         "set_key", "copies", F.coalesce("component", "node").alias("of_class")
     )
