@@ -21,7 +21,6 @@ def topic_options(brokers: str, topics: Sequence[str], starting: str = "earliest
         "kafka.bootstrap.servers": brokers,
         "subscribe": ",".join(topics),
         "startingOffsets": starting,
-        "failOnDataLoss": "false",
     }
 
 

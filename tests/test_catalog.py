@@ -7,11 +7,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from newsflow.plans.catalog import registry
+from newsflow.plans.oracle import statements
 from tests.compare import connect, duck_rows, spark_rows
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES = entry_module.queries()
-STATEMENTS = entry_module.oracle_sql()
+QUERIES = registry()
+STATEMENTS = statements()
 
 
 @pytest.fixture(scope="module")
