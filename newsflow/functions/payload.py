@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Closes the probe array below; texts that hold this mark themselves take the slower two-parse path.
+# Closes the probe array below; texts that may hold this mark themselves take the slower two-parse path.
 _END = "<<end of message>>"
 
 
@@ -21,13 +21,13 @@ def with_parsed(df: DataFrame, text: str, out: str) -> DataFrame:
 
     ``try_parse_json`` stops after the first value and so accepts ``{"a":1} junk``. Parsing the text as the
     first of two array elements rejects that with one pass: anything after the value would have to reach the
-    closing mark as the second element. The probe goes through a one-element ``explode`` because filters
+    closing mark as the second element. A text can forge that mark only by holding it, plainly or with letters
+    written as ``\\u`` escapes; such texts are parsed twice. The probe goes through a one-element ``explode`` because filters
     are pushed below projections (and would parse again there) but not below a generator.
     """
     probe = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f',"{_END}"]')))
-    value = F.when(
-        F.contains(F.col(text), F.lit(_END)), _two_parses(F.col(text))
-    ).when(
+    may_forge = F.contains(F.col(text), F.lit(_END)) | F.contains(F.col(text), F.lit("\\u"))
+    value = F.when(may_forge, _two_parses(F.col(text))).when(
         F.try_variant_get(F.col("_probe"), "$[1]", "string") == _END,
         F.try_variant_get(F.col("_probe"), "$[0]", "variant"),
     )

@@ -158,3 +158,10 @@ def test_text_is_parsed_once(rows):
     kept = ingest.drop_malformed(data).filter(js.type_of(F.col("document")) == "object")
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("ParseJson") <= 3  # probe, and the two of the rare branch
+
+
+def test_forged_end_marks_are_no_json(rows):
+    mark = "<end of message>>"
+    texts = [f'1,"<{mark}"', f'1,"\\u003c{mark}"', f'1,"\\u003c{mark}"]', f'1,"\\u003c{mark}",2', f'"<{mark}"', '"\\u0041"', "1 2", "1]", "1}"]
+    kept = ingest.drop_malformed(rows(list(enumerate(texts)), "id int, value string"))
+    assert sorted(r.id for r in kept.select("id").collect()) == [4, 5]
