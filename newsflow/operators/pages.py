@@ -1,7 +1,7 @@
 """Pages, keyset pages and capped recent sets.
 
-Pages near the top are a distributed top-k. A page far down would make top-k carry ``offset + size`` rows to
-the driver, so beyond ``TOP_K_ROWS`` the page is cut out of the sorted keys by global position instead.
+``page_of`` is a distributed top-k, which carries ``offset + size`` rows and suits pages near the top.
+``page_by_position`` sorts the keys and cuts the page out of them, for pages far down; the caller picks.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ DEFAULT_PAGE, DEFAULT_SIZE, MAX_SIZE = 1, 20, 100
 # Sizes of the recent sets kept per kind.
 RECENT_ARTICLES, RECENT_BURSTS, RECENT_FORECASTS, RECENT_SIGNALS, RECENT_TOPICS = 200, 20, 50, 100, 100
 
-# Most rows a top-k may bring to the driver (offset plus page).
-TOP_K_ROWS = 10_000
-
 
 def clamp(page: int | None = None, size: int | None = None) -> tuple[int, int]:
     """Page at least 1; size between 1 and 100."""
@@ -37,34 +34,29 @@ def clamp(page: int | None = None, size: int | None = None) -> tuple[int, int]:
     return max(1, page), max(1, min(size, MAX_SIZE))
 
 
-def page_of(
-    df: DataFrame,
-    newest: str,
-    key: str,
-    page: int | None = None,
-    size: int | None = None,
-    top_k_rows: int = TOP_K_ROWS,
-) -> DataFrame:
-    """Page ``page`` in descending order of ``newest``, equal times by ascending ``key`` (unique, not null)."""
+def _newest_first(newest: str, key: str) -> list[Column]:
+    return [F.col(newest).desc_nulls_last(), F.col(key).asc()]
+
+
+def page_of(df: DataFrame, newest: str, key: str, page: int | None = None, size: int | None = None) -> DataFrame:
+    """Page ``page`` in descending order of ``newest``, equal times by ascending ``key``."""
     page, size = clamp(page, size)
-    offset = (page - 1) * size
-    order = [F.col(newest).desc_nulls_last(), F.col(key).asc()]
-    if offset + size <= top_k_rows:
-        return df.orderBy(*order).offset(offset).limit(size)
-    return _deep_page(df, newest, key, order, offset, size)
+    return df.orderBy(*_newest_first(newest, key)).offset((page - 1) * size).limit(size)
 
 
-def _deep_page(df: DataFrame, newest: str, key: str, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Cut rows ``offset .. offset + size`` out of the globally sorted keys. Runs the sort as a job.
+def page_by_position(df: DataFrame, newest: str, key: str, page: int | None = None, size: int | None = None) -> DataFrame:
+    """The page of ``page_of``, cut out of the globally sorted keys. Runs the sort as a job.
 
-    The sorted keys are checkpointed, so the row numbers (partition number in the upper bits, row in the
+    Rows with equal time and key have no order among them; the page has as many of them as fit. The sorted keys are checkpointed, so the row numbers (partition number in the upper bits, row in the
     lower) refer to one fixed layout. Per-partition counts give every partition's first position; only those
     counts, one row per partition, are summed in a single task.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    page, size = clamp(page, size)
+    offset, order = (page - 1) * size, _newest_first(newest, key)
     keys = df.select(newest, key).orderBy(*order).checkpoint().withColumn("_row", F.monotonically_increasing_id())
     part, nth = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = keys.select(key, part.alias("_part"), nth.alias("_nth"))
+    placed = keys.select(F.col(newest).alias("_time"), F.col(key).alias("_of"), part.alias("_part"), nth.alias("_nth"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")
@@ -72,8 +64,9 @@ def _deep_page(df: DataFrame, newest: str, key: str, order: list[Column], offset
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
     position = F.col("_start") + F.col("_nth")
-    wanted = placed.join(starts, "_part").filter((position >= offset) & (position < offset + size)).select(key)
-    return df.join(wanted, key, "left_semi").orderBy(*order)
+    wanted = placed.join(starts, "_part").filter((position >= offset) & (position < offset + size))
+    same = F.col(newest).eqNullSafe(F.col("_time")) & F.col(key).eqNullSafe(F.col("_of"))
+    return df.join(wanted, same, "left_semi").orderBy(*order).limit(size)
 
 
 def page_after(
@@ -95,11 +88,12 @@ def articles_page(
 ) -> DataFrame:
     """Newest articles with their latest score.
 
-    The order needs articles only, so the page is cut first and the records are reduced for its articles
-    alone: at most 100 ids, which is why that side may be broadcast.
+    The order needs times and ids only, so the page is cut from these; bodies and records are then read for its
+    articles alone: at most 100 ids, which is why that side may be broadcast.
     """
-    shown = page_of(articles, "published_at", "article_id", page, size)
-    ids = F.broadcast(shown.select("article_id"))
+    times = articles.select("published_at", "article_id")
+    ids = F.broadcast(page_of(times, "published_at", "article_id", page, size).select("article_id"))
+    shown = articles.join(ids, "article_id", "left_semi")
     scores = latest_scores(bias_records.join(ids, "article_id", "left_semi"))
     return shown.join(F.broadcast(scores), "article_id", "left").orderBy(
         F.col("published_at").desc_nulls_last(), F.col("article_id").asc()

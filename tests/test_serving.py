@@ -154,13 +154,19 @@ def _expected(offset, size):
     return [f"{i:04d}" for i in ranked[offset : offset + size]]
 
 
-@pytest.mark.parametrize("top_k_rows", [10_000, 0])
+@pytest.mark.parametrize("cut", [pages.page_of, pages.page_by_position])
 @pytest.mark.parametrize(("page", "size"), [(1, 20), (3, 100), (5, 100), (6, 100), (25, 20), (60, 20)])
-def test_pages_near_and_deep(dated, page, size, top_k_rows):
-    found = [r.id for r in pages.page_of(dated, "at", "id", page, size, top_k_rows).collect()]
+def test_pages_near_and_deep(dated, page, size, cut):
+    found = [r.id for r in cut(dated, "at", "id", page, size).collect()]
     assert found == _expected((page - 1) * size, size)
 
 
+@pytest.mark.parametrize("cut", [pages.page_of, pages.page_by_position])
+def test_repeated_keys_give_whole_pages(rows, cut):
+    frame = rows([("a", 1), ("b", 1), ("b", 1), ("c", None)], "id string, at int")
+    assert [[r.id for r in cut(frame, "at", "id", page, 1).collect()] for page in (1, 2, 3, 4, 5)] == [["a"], ["b"], ["b"], ["c"], []]
+
+
 def test_keyset_pages_walk_the_whole_table(dated):
     walked, last = [], None
     while True:
