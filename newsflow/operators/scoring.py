@@ -30,16 +30,20 @@ def score_keywords(df: DataFrame, body: str = "body", keywords: Sequence[str] =
 
 
 def _predict_each(predict: Predict, texts: list[str]) -> list[tuple[float | None, str, bool]]:
-    """Predict one batch; when that fails, one text at a time so that only the bad rows are flagged."""
+    """Predict one batch; when that fails, each half of it, until the bad rows are alone and only they are flagged."""
     try:
         pairs = list(predict(texts))
         if len(pairs) != len(texts):
             raise ValueError(f"predictor returned {len(pairs)} results for {len(texts)} texts")
         return [(float(score), label, False) for score, label in pairs]
-    except Exception:
+    except MemoryError:
+        raise
+    except Exception as problem:
         if len(texts) == 1:
+            log.warning("a text could not be scored: %r", problem)
             return [(None, UNKNOWN, True)]
-        return [row for text in texts for row in _predict_each(predict, [text])]
+        half = len(texts) // 2
+        return _predict_each(predict, texts[:half]) + _predict_each(predict, texts[half:])
 
 
 def score_model(

@@ -39,6 +39,20 @@ def test_failing_rows_are_flagged_and_kept(bodies):
             assert (row.biasScore, row.biasLabel, row.errorFlag) == (i % 3 / 3, "neutral", False)
 
 
+def test_few_bad_rows_cost_few_calls():
+    calls = []
+
+    def predict(texts):
+        calls.append(len(texts))
+        return _predict(3, texts)
+
+    texts = ["x"] * 20_000
+    texts[77] = texts[12_345] = "boom"
+    found = scoring._predict_each(predict, texts)
+    assert [i for i, row in enumerate(found) if row[2]] == [77, 12_345]
+    assert len(calls) < 70 and sum(calls) < 20_000 * 4
+
+
 def test_wrong_number_of_results_falls_back_to_single_texts(bodies):
     found = scoring.score_model(bodies, _load, _short).select("biasScore").distinct().collect()
     assert [r.biasScore for r in found] == [0.25]
