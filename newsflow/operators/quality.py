@@ -27,7 +27,7 @@ def _direction() -> dict[str, Column]:
 RULES: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
     "articles": (
         "article_id",
-        lambda: _null("article_id", "source_url", "title", "body", "source_name", "published_at", "schema_version"),
+        lambda: _null("article_id", "source_url", "title", "body", "source_name", "published_at", "schema_version", "ingested_at"),
     ),
     "bias_records": (
         "record_id",
@@ -35,7 +35,7 @@ RULES: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
     ),
     "burst_events": (
         "event_id",
-        lambda: _null("event_id", "topic_name", "platform", "article_count", "window_start", "window_end")
+        lambda: _null("event_id", "topic_name", "platform", "article_count", "trend_direction", "window_start", "window_end", "detection_timestamp")
         | _outside_unit("avg_bias_score")
         | _direction()
         | {
@@ -45,7 +45,10 @@ RULES: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
     ),
     "trend_forecasts": (
         "forecast_id",
-        lambda: _null("forecast_id", "topic_name", "platform", "predicted_volume", "forecast_horizon")
+        lambda: _null(
+            "forecast_id", "topic_name", "platform", "predicted_volume", "confidence_score", "trend_direction",
+            "forecast_horizon", "created_at",
+        )
         | _outside_unit("confidence_score")
         | _outside_unit("avg_bias_score")
         | _direction()
@@ -54,23 +57,24 @@ RULES: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
 }
 
 
-def row_violations(df: DataFrame, table: str) -> DataFrame:
-    """Every row rule of one table counted in one pass: (table_name, rule, violations)."""
-    rules = RULES[table][1]()
-    counted = df.agg(*(F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())))
-    listed = F.array(
-        *(F.struct(F.lit(rule).alias("rule"), F.col(f"r{i}").alias("violations")) for i, rule in enumerate(rules))
+def table_violations(df: DataFrame, table: str) -> DataFrame:
+    """Every rule of one table, its key included, counted in one pass: (table_name, rule, violations).
+
+    Rows are counted per key, and the counts of broken rules go along.
+    """
+    key, rules = RULES[table][0], RULES[table][1]()
+    marks = [f"r{i}" for i in range(len(rules))]
+    per_key = df.groupBy(F.col(key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(broken).alias(mark) for mark, broken in zip(marks, rules.values(), strict=True))
+    )
+    counted = per_key.agg(
+        *(F.coalesce(F.sum(mark), F.lit(0)).alias(mark) for mark in marks), F.count_if(F.col("n") > 1).alias("repeated")
     )
+    named = dict(zip(rules, marks, strict=True)) | {f"{key} unique": "repeated"}
+    listed = F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(mark).alias("violations")) for rule, mark in named.items()))
     return counted.select(F.lit(table).alias("table_name"), F.inline(listed))
 
 
-def key_violations(df: DataFrame, table: str) -> DataFrame:
-    """Keys that occur more than once."""
-    key = RULES[table][0]
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("violations"))
-    return repeated.select(F.lit(table).alias("table_name"), F.lit(f"{key} unique").alias("rule"), "violations")
-
-
 def reference_violations(bias_records: DataFrame, articles: DataFrame) -> DataFrame:
     """Records without their article, counted per id before the join so that no id is hot in it."""
     per_id = bias_records.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
@@ -82,7 +86,7 @@ def reference_violations(bias_records: DataFrame, articles: DataFrame) -> DataFr
 
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     """All rules of the given tables: (table_name, rule, violations)."""
-    parts = [check(df, name) for name, df in tables.items() for check in (row_violations, key_violations)]
+    parts = [table_violations(df, name) for name, df in tables.items()]
     if {"articles", "bias_records"} <= tables.keys():
         parts.append(reference_violations(tables["bias_records"], tables["articles"]))
     return reduce(DataFrame.unionByName, parts)

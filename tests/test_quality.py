@@ -18,34 +18,45 @@ def test_seed_rows_break_no_rule(spark):
 
 def test_each_rule_counts_its_rows(spark):
     tables = {
-        "articles": spark.createDataFrame([("a", None, "t", "b", "s", T, "1.0", T), ("a", "u", None, "b", "s", T, "1.0", T)], ARTICLES),
+        "articles": spark.createDataFrame([("a", None, "t", "b", "s", T, "1.0", None), ("a", "u", None, "b", "s", T, "1.0", T)], ARTICLES),
         "bias_records": spark.createDataFrame(
             [("r1", "a", 1.5, "biased", T, False), ("r2", "z", None, "unknown", T, True), ("r3", "z", 0.0, "x", T, None)], BIAS_RECORDS
         ),
         "burst_events": spark.createDataFrame(
-            [("e1", "t", "p", 0, -0.1, "x", T, U, T), ("e2", "t", None, 3, None, "↑", U, T, T)], BURST_EVENTS
+            [("e1", "t", "p", 0, -0.1, "x", T, U, T), ("e2", "t", None, 3, None, None, U, T, None)], BURST_EVENTS
         ),
-        "trend_forecasts": spark.createDataFrame([("f1", "t", "p", -1.0, 1.1, 0.5, "↓", T, T)], TREND_FORECASTS),
+        "trend_forecasts": spark.createDataFrame([("f1", "t", "p", -1.0, 1.1, 0.5, "↓", T, T), ("f2", "t", "p", 1.0, None, 0.5, None, T, None)], TREND_FORECASTS),
     }
     found = {(r.table_name, r.rule): r.violations for r in quality.constraint_report(tables).collect()}
     broken = {key: n for key, n in found.items() if n}
     assert broken == {
         ("articles", "source_url not null"): 1,
         ("articles", "title not null"): 1,
+        ("articles", "ingested_at not null"): 1,
         ("articles", "article_id unique"): 1,
         ("bias_records", "error_flag not null"): 1,
         ("bias_records", "bias_score in [0,1]"): 1,
         ("bias_records", "article_id references articles"): 2,
         ("burst_events", "platform not null"): 1,
+        ("burst_events", "trend_direction not null"): 1,
+        ("burst_events", "detection_timestamp not null"): 1,
         ("burst_events", "avg_bias_score in [0,1]"): 1,
         ("burst_events", "trend_direction known"): 1,
         ("burst_events", "article_count positive"): 1,
         ("burst_events", "window_end after window_start"): 1,
+        ("trend_forecasts", "confidence_score not null"): 1,
+        ("trend_forecasts", "trend_direction not null"): 1,
+        ("trend_forecasts", "created_at not null"): 1,
         ("trend_forecasts", "confidence_score in [0,1]"): 1,
         ("trend_forecasts", "predicted_volume not negative"): 1,
     }
 
 
+def test_empty_tables_break_no_rule(spark):
+    report = quality.constraint_report({"articles": spark.createDataFrame([], ARTICLES)}).collect()
+    assert {r.violations for r in report} == {0} and len(report) == 9
+
+
 def test_lag_cases(spark):
     committed = spark.createDataFrame(
         [("g", "t", 0, 400), ("g", "t", 1, -1), ("g", "t", 2, 50), ("g", "u", 0, 7), ("h", "t", 0, 999)], OFFSETS
