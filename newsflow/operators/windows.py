@@ -40,12 +40,18 @@ def topic_of(key: Column) -> Column:
     return F.substring_index(key, "|", 1)
 
 
-def with_event_time(analyzed: DataFrame, ts: str = "publishedAt", fallback: str = "analysisTimestamp") -> DataFrame:
+def with_event_time(
+    analyzed: DataFrame, ts: str = "publishedAt", fallback: str = "analysisTimestamp", ahead: str = "1 day"
+) -> DataFrame:
     """Turn the publication text into a timestamp; where it is no real date, the analysis time stands in.
 
-    Windows leave out rows without a time, so every message needs one to be counted.
+    Windows leave out rows without a time, so every message needs one to be counted. A time more than ``ahead`` past
+    the analysis can't be true; the analysis time stands in there too, or one such message would move the watermark
+    of a stream past all others.
     """
-    return analyzed.withColumn(ts, F.coalesce(parse_iso(F.col(ts)), parse_iso(F.col(fallback))))
+    told, analysed = parse_iso(F.col(ts)), parse_iso(F.col(fallback))
+    too_late = told > analysed + F.expr(f"INTERVAL {ahead}")
+    return analyzed.withColumn(ts, F.coalesce(F.when(too_late, analysed), told, analysed))
 
 
 def named_source(source: Column) -> Column:

@@ -89,12 +89,14 @@ def trend_forecast(v: Views) -> DataFrame:
 
 @_query
 def burst_detection_stream(v: Views) -> DataFrame:
-    return drain_to_parquet(stream_bursts(v.analyzed_stream, THRESHOLD, DAY_MS), fresh_dir(v.spark, "bursts"))
+    stream = stream_bursts(v.analyzed_stream, THRESHOLD, DAY_MS, clock=v.end_clock)
+    return drain_to_parquet(stream, fresh_dir(v.spark, "bursts"))
 
 
 @_query
 def trend_forecast_stream(v: Views) -> DataFrame:
-    return drain_to_parquet(stream_forecasts(v.analyzed_stream, THRESHOLD, DAY_MS), fresh_dir(v.spark, "forecasts"))
+    stream = stream_forecasts(v.analyzed_stream, THRESHOLD, DAY_MS, clock=v.end_clock)
+    return drain_to_parquet(stream, fresh_dir(v.spark, "forecasts"))
 
 
 @_query
@@ -102,7 +104,7 @@ def predictions_stream(v: Views) -> DataFrame:
     """Both branches from one streaming aggregate, each inserted if absent, read back as one list."""
     place = fresh_dir(v.spark, "predictions")
     write = sinks.save_predictions(f"{place}/bursts", f"{place}/forecasts", THRESHOLD)
-    drain_batches(directed_windows(v.analyzed_stream, DAY_MS), write)
+    drain_batches(directed_windows(v.analyzed_stream, DAY_MS, clock=v.end_clock), write)
     stored = [
         sinks.read_table(v.spark, f"{place}/{name}", frame.schema)
         for name, frame in (("bursts", v.bursts), ("forecasts", v.forecasts))
@@ -208,8 +210,8 @@ def articles_after(v: Views) -> DataFrame:
 
 @_query
 def deep_page(v: Views) -> DataFrame:
-    """A page beyond the top-k bound (lowered here), cut out of the sorted keys by position."""
-    return pages.page_of(v.analyzed, "publishedAt", "articleId", page=8, size=100, top_k_rows=500)
+    """A page cut out of the sorted keys by position."""
+    return pages.page_by_position(v.analyzed, "publishedAt", "articleId", page=8, size=100)
 
 
 @_query
@@ -438,7 +440,7 @@ def upsert_latest_stream(v: Views) -> DataFrame:
     updates = trending.trending_updates(v.bursts, v.forecasts)
     updates.write.parquet(f"{place}/in")
     stream = v.spark.readStream.schema(updates.schema).parquet(f"{place}/in")
-    drain_batches(stream, stream_live.upsert_batches(f"{place}/out", order=("updated_at", "id")))
+    drain_batches(stream, stream_live.upsert_batches(f"{place}/out", "first", order=("updated_at", "id")))
     return stream_live.read_upserted(v.spark, f"{place}/out")
 
 
@@ -448,7 +450,7 @@ def live_tables_stream(v: Views) -> DataFrame:
     place = fresh_dir(v.spark, "live")
     v.messages.write.parquet(f"{place}/in")
     stream = v.spark.readStream.schema(v.messages.schema).parquet(f"{place}/in")
-    drain_batches(stream, stream_live.save_live(f"{place}/out", _now(), ["message_id"]))
+    drain_batches(stream, stream_live.save_live(f"{place}/out", "first", _now(), ["message_id"]))
     read = [
         v.spark.read.parquet(f"{place}/out/{name}").select(F.lit(name).alias("name"), F.col(key).alias("key"))
         for name, key in stream_live.LIVE_KEYS.items()
@@ -474,11 +476,11 @@ def insert_if_absent(v: Views) -> DataFrame:
 
 @_query
 def dual_write(v: Views) -> DataFrame:
-    """Scored messages saved as articles and score records, the same batch twice; records per article."""
+    """Scored messages saved as articles and score records: a batch replayed, a second one, and one of another
+    checkpoint; records per article."""
     place = fresh_dir(v.spark, "saved")
-    write = sinks.save_analyzed(f"{place}/articles", f"{place}/records")
-    for batch_id in (0, 0, 1):
-        write(v.scored_messages, batch_id)
+    for run, batch_id in (("first", 0), ("first", 0), ("first", 1), ("second", 0)):
+        sinks.save_analyzed(f"{place}/articles", f"{place}/records", run)(v.scored_messages, batch_id)
     articles = v.spark.read.parquet(f"{place}/articles").select("article_id", "source_name", "published_at")
     records = v.spark.read.parquet(f"{place}/records")
     per_article = records.groupBy("article_id").agg(
@@ -489,12 +491,14 @@ def dual_write(v: Views) -> DataFrame:
 
 @_query
 def audit_rows(v: Views) -> DataFrame:
+    """Events as deliveries; those with an odd id went out twice."""
     sent = v.table("events").select(
         F.col("user_id").cast("string").alias("session_id"),
         F.col("event_type"),
         F.col("event_id").cast("string").alias("article_id"),
+        F.explode(F.sequence(F.lit(0), F.col("event_id").cast("int") % 2)).alias("delivery"),
     )
-    return sinks.delivery_rows(sent, _now())
+    return sinks.delivery_rows(sent, F.col("delivery"), _now())
 
 
 @_query

@@ -346,7 +346,6 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("articles",),
         """SELECT * FROM articles WHERE article_id IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'en')""",
     ),
-    "closed_after": (("analyzed",), 'SELECT max("publishedAt") AS mark FROM analyzed'),
 }
 
 
@@ -381,15 +380,21 @@ def _constraints() -> str:
         return table, "trend_direction known", "trend_direction NOT IN ('↑', '↓', '→')"
 
     rules = [
-        *null("articles", "article_id", "source_url", "title", "body", "source_name", "published_at", "schema_version"),
+        *null("articles", "article_id", "source_url", "title", "body", "source_name", "published_at", "schema_version", "ingested_at"),
         *null("bias_records", "record_id", "article_id", "analysis_timestamp", "error_flag"),
         unit("bias_records", "bias_score"),
-        *null("burst_events", "event_id", "topic_name", "platform", "article_count", "window_start", "window_end"),
+        *null(
+            "burst_events", "event_id", "topic_name", "platform", "article_count", "trend_direction", "window_start", "window_end",
+            "detection_timestamp",
+        ),
         unit("burst_events", "avg_bias_score"),
         known("burst_events"),
         ("burst_events", "article_count positive", "article_count <= 0"),
         ("burst_events", "window_end after window_start", "window_end <= window_start"),
-        *null("trend_forecasts", "forecast_id", "topic_name", "platform", "predicted_volume", "forecast_horizon"),
+        *null(
+            "trend_forecasts", "forecast_id", "topic_name", "platform", "predicted_volume", "confidence_score", "trend_direction",
+            "forecast_horizon", "created_at",
+        ),
         unit("trend_forecasts", "confidence_score"),
         unit("trend_forecasts", "avg_bias_score"),
         known("trend_forecasts"),
@@ -457,8 +462,6 @@ def _salience() -> str:
 
 
 def statements() -> dict[str, str]:
-    closed = "WHERE window_end <= (SELECT mark FROM closed_after)"
-    closed_created = "WHERE created_at <= (SELECT mark FROM closed_after)"
     missing = ", ".join(
         f"CASE WHEN NOT {_truthy(f)} THEN '{f}' END" for f in RAW_FIELDS
     )
@@ -491,13 +494,9 @@ def statements() -> dict[str, str]:
         ),
         "burst_detection": _with(("bursts",), _rounded("bursts", "avg_bias_score")),
         "trend_forecast": _with(("forecasts",), _rounded("forecasts", *all_forecast_columns)),
-        "burst_detection_stream": _with(("bursts", "closed_after"), _rounded("bursts", "avg_bias_score", where=closed)),
-        "trend_forecast_stream": _with(
-            ("forecasts", "closed_after"), _rounded("forecasts", *all_forecast_columns, where=closed_created)
-        ),
-        "predictions_stream": _with(
-            ("predictions", "closed_after"), _rounded("predictions", *all_forecast_columns, where=closed_created)
-        ),
+        "burst_detection_stream": _with(("bursts",), _rounded("bursts", "avg_bias_score")),
+        "trend_forecast_stream": _with(("forecasts",), _rounded("forecasts", *all_forecast_columns)),
+        "predictions_stream": _with(("predictions",), _rounded("predictions", *all_forecast_columns)),
         "latest_bursts": _with(
             ("bursts",), f"SELECT * REPLACE ({_SCORES_ROUNDED}) FROM ({_latest('bursts', 'detection_timestamp', 'event_id')})"
         ),
@@ -740,13 +739,13 @@ def statements() -> dict[str, str]:
         "dual_write": _with(
             ("articles",),
             f"""
-            SELECT article_id, source_name, published_at, 2::BIGINT AS records,
+            SELECT article_id, source_name, published_at, 3::BIGINT AS records,
                    {_score("body", SECOND_KEYWORDS)} AS bias_score FROM articles""",
         ),
         "audit_rows": f"""
-            SELECT {_uuid("user_id", "event_type", "event_id")} AS log_id, user_id::VARCHAR AS session_id, event_type,
+            SELECT {_uuid("user_id", "event_type", "event_id", "delivery")} AS log_id, user_id::VARCHAR AS session_id, event_type,
                    '{{"articleId":"' || event_id::VARCHAR || '"}}' AS payload, {NOW} AS delivered_at
-            FROM events""",
+            FROM (SELECT *, unnest(range(0, event_id % 2 + 1)) AS delivery FROM events)""",
         "raw_payloads": _with(
             ("raw_messages",),
             """

@@ -15,7 +15,7 @@ from newsflow.functions.scoring import keyword_score, score_label
 from newsflow.operators.scoring import score_keywords
 from newsflow.operators.windows import burst_detection, trend_forecast
 from newsflow.schemas import ANALYZED_TOPIC, PREDICTIONS_TOPIC
-from newsflow.sources.session import prepare
+from newsflow.sources.session import fresh_dir, prepare
 from newsflow.sources.streams import burst_payloads, forecast_payloads
 
 DAY_MS = 86_400_000
@@ -95,6 +95,14 @@ class Views:
         )
         return analyzed_of(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
+    @property
+    def end_clock(self) -> DataFrame:
+        """One time two days past the last event, as a stream: the end of this bounded input."""
+        place = fresh_dir(self.spark, "clock")
+        last = self.table("events").agg(F.max("ts").cast("timestamp").alias("last"))
+        last.select((F.col("last") + F.expr("INTERVAL 2 DAYS")).alias("publishedAt")).write.parquet(place)
+        return self.spark.readStream.schema("publishedAt timestamp").parquet(place)
+
     @cached_property
     def deliveries(self) -> DataFrame:
         """Analyzed messages delivered at least once: high values come again an hour later, marked as repeats."""

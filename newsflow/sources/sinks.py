@@ -1,4 +1,4 @@
-"""Table sinks that can be replayed: inserts skip known keys, appends are keyed by batch."""
+"""Table sinks that can be replayed: inserts skip known keys, appends are keyed by run and batch."""
 
 from __future__ import annotations
 
@@ -37,9 +37,11 @@ def absent_rows(
 ) -> DataFrame:
     """Rows an insert-if-absent would add: one per key, the first to arrive, with defaults, unknown to the target.
 
-    Only the target's key column is read.
+    Only the target's key column is read. A null key is a key like any other, so a replay meets it again.
     """
-    return with_defaults(first_by(batch, [key], arrival), defaults).join(target.select(key), key, "left_anti")
+    known = target.select(F.col(key).alias("_known"))
+    fresh = with_defaults(first_by(batch, [key], arrival), defaults)
+    return fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -83,13 +85,17 @@ def insert_if_absent(
         dated.unpersist()
 
 
-def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Append once per batch id: a replayed batch replaces its own rows instead of adding them again."""
+def append_batch(batch: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Append once per run and batch id: a replayed batch replaces its own rows instead of adding them again.
+
+    ``run`` names the checkpoint that counts the batches, best by the id of its streaming query. Another query over
+    the same table, or the same one with a new checkpoint, starts at batch 0 again and must bring a name of its own.
+    """
     (
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        batch.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("run", "batch_id")
         .parquet(path)
     )
 
@@ -105,14 +111,14 @@ def insert_batches(
     return write
 
 
-def save_validated(accepted_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
+def save_validated(accepted_path: str, quarantine_path: str, run: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function for validated rows: sound ones to one table, the others with their reason to another."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            append_batch(accepted(batch), accepted_path, batch_id)
-            append_batch(rejected(batch), quarantine_path, batch_id)
+            append_batch(accepted(batch), accepted_path, run, batch_id)
+            append_batch(rejected(batch), quarantine_path, run, batch_id)
         finally:
             batch.unpersist()
 
@@ -146,7 +152,7 @@ def record_table_rows(analyzed: DataFrame) -> DataFrame:
     )
 
 
-def save_analyzed(articles_path: str, records_path: str) -> Callable[[DataFrame, int], None]:
+def save_analyzed(articles_path: str, records_path: str, run: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: articles if absent, score records always, both from one cached batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -154,7 +160,7 @@ def save_analyzed(articles_path: str, records_path: str) -> Callable[[DataFrame,
         try:
             rows = article_table_rows(batch).to(ARTICLES)
             insert_if_absent(rows, articles_path, "article_id", ["ingested_at", "published_at", "title"], None, {})
-            append_batch(record_table_rows(batch).to(BIAS_RECORDS), records_path, batch_id)
+            append_batch(record_table_rows(batch).to(BIAS_RECORDS), records_path, run, batch_id)
         finally:
             batch.unpersist()
 
@@ -176,10 +182,13 @@ def save_predictions(
     return write
 
 
-def delivery_rows(deliveries: DataFrame, delivered_at: Column | None = None) -> DataFrame:
-    """Audit rows of delivered messages from (session_id, event_type, article_id)."""
+def delivery_rows(deliveries: DataFrame, delivery: Column, delivered_at: Column | None = None) -> DataFrame:
+    """Audit rows of delivered messages from (session_id, event_type, article_id).
+
+    ``delivery`` tells repeated deliveries of one message to one session apart: an offset, a number or a time.
+    """
     return deliveries.select(
-        key_uuid(F.col("session_id"), F.col("event_type"), F.col("article_id")).alias("log_id"),
+        key_uuid(F.col("session_id"), F.col("event_type"), F.col("article_id"), delivery).alias("log_id"),
         "session_id",
         "event_type",
         F.to_json(F.struct(F.col("article_id").alias("articleId")), {"ignoreNullFields": "false"}).alias("payload"),

@@ -19,18 +19,19 @@ def dedup_stream(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 def upsert_batches(
-    path: str, keys: Sequence[str] = ("topic_name", "platform"), order: Sequence[str] = ("updated_at",)
+    path: str, run: str, keys: Sequence[str] = ("topic_name", "platform"), order: Sequence[str] = ("updated_at",)
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: append each batch reduced to its first appearance and last row per key.
 
     A batch writes its own rows only, never the whole table; ``read_upserted`` merges on reading. A replayed
-    batch replaces its rows.
+    batch replaces its rows. ``run`` names the checkpoint, as in ``append_batch``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         first = F.min(F.struct(*order)).alias("first_seen")
         last = F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("last_row")
-        append_batch(batch.groupBy(*keys).agg(first, last), path, batch_id)
+        reduced = batch.groupBy(*keys).agg(first, last)
+        append_batch(reduced.withColumn("written_at", F.current_timestamp()), path, run, batch_id)
 
     return write
 
@@ -41,13 +42,14 @@ def read_upserted(
     keys: Sequence[str] = ("topic_name", "platform"),
     cap: int | None = None,
 ) -> DataFrame:
-    """The current row per key from the batches written so far; later batches win over earlier ones.
+    """The current row per key from the batches written so far, by all runs; later batches win over earlier ones.
 
     With ``cap``, the keys that appeared most recently.
     """
     logged = spark.read.parquet(path)
+    written = ("written_at", "batch_id", "run")
     merged = logged.groupBy(*keys).agg(
-        F.max_by("last_row", "batch_id").alias("_row"), F.min(F.struct("batch_id", "first_seen")).alias("_first")
+        F.max_by("last_row", F.struct(*written)).alias("_row"), F.min(F.struct(*written, "first_seen")).alias("_first")
     )
     if cap is not None:
         merged = merged.orderBy(F.col("_first").desc(), *keys).limit(cap)
@@ -105,12 +107,12 @@ def live_tables(batch: DataFrame, now: Column, arrival: Sequence[str]) -> dict[s
 LIVE_KEYS = {"articles": "articleId", "bursts": "eventId", "forecasts": "forecastId"}
 
 
-def save_live(path: str, now: Column, arrival: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def save_live(path: str, run: str, now: Column, arrival: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: one micro-batch of both topics into the four live tables below ``path``.
 
     ``arrival`` names the batch's columns that order messages, such as a topic's timestamp and offset.
     """
-    upsert = upsert_batches(f"{path}/trending", order=arrival)
+    upsert = upsert_batches(f"{path}/trending", run, order=arrival)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

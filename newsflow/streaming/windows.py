@@ -42,22 +42,36 @@ _COUNTED = T.StructType(
 
 
 def stream_counts(
-    analyzed: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, delay: str = "0 seconds", ts: str = "publishedAt"
+    analyzed: DataFrame,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    delay: str = "0 seconds",
+    ts: str = "publishedAt",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
-    """Closed windows per composite key. Rows older than the watermark are dropped and counted by Spark."""
+    """Closed windows per composite key. Rows older than the watermark are dropped and counted by Spark.
+
+    A window closes when a later time arrives. ``clock``, a stream whose column ``ts`` tells the time, closes the last
+    windows of a quiet or bounded stream; its rows are counted nowhere. It must not run ahead of messages to come:
+    for a bounded input it is one row past the end, for a live one the present time less the usual delay.
+    """
     named = named_source(F.col("sourceName"))
+    rows = analyzed.select("title", "sourceName", "biasScore", ts, F.lit(1).alias("_message"))
+    if clock is not None:
+        rows = rows.unionByName(clock.select(ts), allowMissingColumns=True)
+    # Clock rows are left out after the aggregate; a filter before it would be pushed below the watermark.
     return (
-        analyzed.withWatermark(ts, delay)
+        rows.withWatermark(ts, delay)
         .withColumn("topic_key", composite_key(F.col("title"), F.col("sourceName")))
         .groupBy(F.window(ts, window_length(window_ms)).alias("span"), "topic_key")
         .agg(
-            F.count(F.lit(1)).alias("volume"),
+            F.count("_message").alias("volume"),
             F.avg("biasScore").alias("avg_bias_score"),
             F.coalesce(
                 F.max_by(named, F.when(named.isNotNull(), F.struct(F.col(ts), F.col("sourceName")))),
                 F.lit(UNKNOWN_PLATFORM),
             ).alias("platform"),
         )
+        .filter("volume > 0")
         .select(
             "topic_key",
             "platform",
@@ -115,18 +129,27 @@ def directed_windows(
     delay: str = "0 seconds",
     ttl_ms: int | None = None,
     ts: str = "publishedAt",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
     """The one aggregate that feeds bursts and forecasts alike."""
-    return stream_directed(stream_counts(analyzed, window_ms, delay, ts), ttl_ms)
+    return stream_directed(stream_counts(analyzed, window_ms, delay, ts, clock), ttl_ms)
 
 
 def stream_bursts(
-    analyzed: DataFrame, threshold: int = DEFAULT_THRESHOLD, window_ms: int = DEFAULT_WINDOW_MS, delay: str = "0 seconds"
+    analyzed: DataFrame,
+    threshold: int = DEFAULT_THRESHOLD,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    delay: str = "0 seconds",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
-    return to_bursts(directed_windows(analyzed, window_ms, delay), threshold)
+    return to_bursts(directed_windows(analyzed, window_ms, delay, clock=clock), threshold)
 
 
 def stream_forecasts(
-    analyzed: DataFrame, baseline: int = DEFAULT_THRESHOLD, window_ms: int = DEFAULT_WINDOW_MS, delay: str = "0 seconds"
+    analyzed: DataFrame,
+    baseline: int = DEFAULT_THRESHOLD,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    delay: str = "0 seconds",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
-    return to_forecasts(directed_windows(analyzed, window_ms, delay), baseline)
+    return to_forecasts(directed_windows(analyzed, window_ms, delay, clock=clock), baseline)

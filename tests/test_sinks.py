@@ -59,8 +59,11 @@ def test_append_batch_replaces_its_own_rows(spark, tmp_path):
     path = str(tmp_path / "log")
     batch = spark.createDataFrame([(1,), (2,)], "n int")
     for batch_id in (0, 1, 1, 0):
-        sinks.append_batch(batch, path, batch_id)
+        sinks.append_batch(batch, path, "first", batch_id)
     assert spark.read.parquet(path).count() == 4
+    # Another checkpoint starts at batch 0 again and must not replace what the first one wrote.
+    sinks.append_batch(batch, path, "second", 0)
+    assert spark.read.parquet(path).count() == 6
 
 
 def _analyzed(spark, ids):
@@ -70,7 +73,7 @@ def _analyzed(spark, ids):
 
 
 def test_articles_once_records_always(spark, tmp_path):
-    write = sinks.save_analyzed(str(tmp_path / "a"), str(tmp_path / "r"))
+    write = sinks.save_analyzed(str(tmp_path / "a"), str(tmp_path / "r"), "first")
     write(_analyzed(spark, ["1", "2"]), 0)
     write(_analyzed(spark, ["2", "3"]), 1)
     write(_analyzed(spark, ["2", "3"]), 1)
@@ -80,7 +83,7 @@ def test_articles_once_records_always(spark, tmp_path):
 
 def test_sound_and_broken_rows_part(spark, tmp_path):
     batch = spark.createDataFrame([("1", None), ("2", "title"), ("3", None)], "articleId string, error_reason string")
-    write = sinks.save_validated(str(tmp_path / "ok"), str(tmp_path / "bad"))
+    write = sinks.save_validated(str(tmp_path / "ok"), str(tmp_path / "bad"), "first")
     for batch_id in (0, 0, 1):
         write(batch, batch_id)
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 4
@@ -130,9 +133,19 @@ def test_topic_options():
 
 
 def test_delivery_rows(rows):
-    sent = rows([("s1", "burst_event", "a1"), ("s1", "burst_event", None)], "session_id string, event_type string, article_id string")
-    found = sinks.delivery_rows(sent, F.lit(T0)).collect()
-    assert [json.loads(r.payload) for r in found] == [{"articleId": "a1"}, {"articleId": None}]
+    schema = "session_id string, event_type string, article_id string, number int"
+    sent = rows([("s1", "burst_event", "a1", 0), ("s1", "burst_event", "a1", 1), ("s1", "burst_event", None, 0)], schema)
+    found = sinks.delivery_rows(sent, F.col("number"), F.lit(T0)).collect()
+    assert [json.loads(r.payload) for r in found] == [{"articleId": "a1"}, {"articleId": "a1"}, {"articleId": None}]
+    assert len({r.log_id for r in found}) == 3
+
+
+def test_null_keys_are_inserted_once(spark, tmp_path):
+    path = str(tmp_path / "live")
+    for _ in range(2):
+        batch = spark.createDataFrame([(None, 1), ("a", 2)], "id string, n int")
+        sinks.insert_if_absent(batch, path, "id", ["n"], None, {})
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == [("a", 2), (None, 1)]
 
 
 def _snapshot(spark, tmp_path, saved_at):

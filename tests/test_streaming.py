@@ -55,6 +55,17 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert bursts.count() == 4 and forecasts.count() == 7
 
 
+def test_a_clock_closes_the_last_windows(spark, tmp_path):
+    data = _messages(0, 4) + _messages(1, 7)
+    _write(spark, str(tmp_path / "in"), 0, data)
+    _write(spark, str(tmp_path / "clock"), 0, [(START + timedelta(minutes=5),)], "publishedAt timestamp")
+    clock = _stream(spark, str(tmp_path / "clock"), "publishedAt timestamp")
+    stream = stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE, clock=clock)
+    found = drain_to_parquet(stream, str(tmp_path / "f"))
+    assert _settled(found) == _settled(windows.trend_forecast(spark.createDataFrame(data, SCHEMA), 5, MINUTE))
+    assert found.count() == 2
+
+
 def test_restart_continues_and_adds_nothing_twice(spark, tmp_path):
     place, checkpoint = str(tmp_path / "out"), str(tmp_path / "check")
     write = sinks.save_predictions(f"{place}/bursts", f"{place}/forecasts", 5)
@@ -131,7 +142,7 @@ def test_upserts_across_batches(spark, tmp_path):
     ]
     for number, part in enumerate(data):
         _write(spark, str(tmp_path / "in"), number, part, schema)
-    drain_batches(_stream(spark, str(tmp_path / "in"), schema), stream_live.upsert_batches(str(tmp_path / "log")))
+    drain_batches(_stream(spark, str(tmp_path / "in"), schema), stream_live.upsert_batches(str(tmp_path / "log"), "first"))
     merged = stream_live.read_upserted(spark, str(tmp_path / "log"))
     batch = upsert_latest(spark.createDataFrame([r for part in data for r in part], schema))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, batch.collect()))
@@ -179,7 +190,7 @@ def test_live_tables_across_batches(spark, tmp_path):
     ]
     for number, data in enumerate(batches):
         _write(spark, str(tmp_path / "in"), number, data, schema)
-    write = stream_live.save_live(str(tmp_path / "out"), F.lit("2024-06-01").cast("timestamp"), ["at"])
+    write = stream_live.save_live(str(tmp_path / "out"), "first", F.lit("2024-06-01").cast("timestamp"), ["at"])
     drain_batches(_stream(spark, str(tmp_path / "in"), schema), write)
     read = {n: spark.read.parquet(str(tmp_path / "out" / n)).collect() for n in stream_live.LIVE_KEYS}
     assert [r.title for r in read["articles"]] == ["first"]

@@ -154,3 +154,10 @@ def test_raw_rows_are_scanned_once(spark, tmp_path, rows):
     directed.collect()
     final = directed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
+
+
+def test_a_time_far_past_the_analysis_is_not_believed(rows):
+    told = ["2099-01-01T00:00:00Z", "2024-01-02T12:00:00Z"]
+    frame = rows([(t, "2024-01-02T00:00:00Z") for t in told], "publishedAt string, analysisTimestamp string")
+    found = windows.with_event_time(frame).select(F.date_format("publishedAt", "yyyy-MM-dd HH").alias("at")).collect()
+    assert [r.at for r in found] == ["2024-01-02 00", "2024-01-02 12"]
