@@ -157,12 +157,11 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _open_keys(shared: DataFrame, links: DataFrame, salt: int) -> DataFrame:
+def _open_keys(shared: DataFrame, found: DataFrame, salt: int) -> DataFrame:
     """(key, node, component, most, star) of the keys that still hold several components.
 
     ``most`` is the most frequent component of the key and ``star`` one of its classes there.
     """
-    found = components(links)
     labelled = (
         shared.select("key", "node")
         .join(found, "node", "left")
@@ -181,17 +180,24 @@ def _open_keys(shared: DataFrame, links: DataFrame, salt: int) -> DataFrame:
     return staged(join_group_totals(labelled, split, ["key"], "members", spread=F.col("node")).drop("members"), "open-keys")
 
 
-def _all_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect all that is connected."""
-    links = staged(_confirmed(_ordered(shared, "node", "star"), sets), "links-0")
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links. What was found goes in as a link of every node to its component, not as all links
+    that led there; few rounds are left for such stars."""
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(links))
+
+
+def _connected(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of all classes that are linked with others."""
+    found = components(_confirmed(_ordered(shared, "node", "star"), sets))
     for salt in range(1, STAR_ROUNDS + 1):
-        fewer = _open_keys(shared, links, salt).filter("component != most")
-        links = links.unionByName(staged(_confirmed(_ordered(fewer, "node", "star"), sets), f"links-{salt}"))
-    still_open = _open_keys(shared, links, 0)
+        fewer = _open_keys(shared, found, salt).filter("component != most")
+        found = _joined(found, _confirmed(_ordered(fewer, "node", "star"), sets))
+    still_open = _open_keys(shared, found, 0)
     fewer = still_open.filter("component != most").select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
     others = still_open.select("key", F.col("node").alias("b"), "component")
     pairs = staged(_ordered(fewer.join(others, "key").filter("_c != component"), "a", "b"), "remaining")
-    return links.unionByName(staged(_confirmed(pairs, sets), "links-last"))
+    return _joined(found, _confirmed(pairs, sets))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -203,7 +209,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     # Classes that share no key need no set. A node's text is the one whose set it stands for.
     members = texts.join(nodes, texts["doc_id"] == nodes["node"]).select("node", "text")
     sets = staged(members.mapInArrow(set_batches, SETS), "sets")
-    found = components(_all_links(shared, sets))
+    found = _connected(shared, sets)
     labelled = classes.join(found, "node", "left").select(
         "set_key", "copies", F.coalesce("component", "node").alias("of_class")
     )
