@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.operators.joins import join_group_totals
-
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The row with the greatest ``order`` per key. End ``order`` with a unique column for stable results."""
@@ -58,19 +56,14 @@ def with_latest_score(articles: DataFrame, bias_records: DataFrame) -> DataFrame
     return articles.join(latest_scores(bias_records), "article_id", "left")
 
 
-def _known_articles(bias_records: DataFrame, articles: DataFrame, how: str) -> DataFrame:
-    # One article may own a large part of all records: count per id, let the ids meet the articles, and go
-    # back to the rows with large ids cut into shares.
-    per_id = bias_records.groupBy("article_id").agg(F.count(F.lit(1)).alias("_n"))
-    ids = per_id.join(articles.select("article_id"), "article_id", how)
-    return join_group_totals(bias_records, ids, ["article_id"], "_n", F.col("record_id")).drop("_n")
-
-
 def orphan_records(bias_records: DataFrame, articles: DataFrame) -> DataFrame:
-    """Records that point to no article. The reference column is never null."""
-    return _known_articles(bias_records, articles, "left_anti")
+    """Records that point to no article. The reference column is never null.
+
+    One article may own a large part of all records; Spark splits such a partition of the left side at run time.
+    """
+    return bias_records.join(articles.select("article_id"), "article_id", "left_anti")
 
 
 def cascade_records(bias_records: DataFrame, articles: DataFrame) -> DataFrame:
     """Records that survive when those of deleted articles go with them."""
-    return _known_articles(bias_records, articles, "left_semi")
+    return bias_records.join(articles.select("article_id"), "article_id", "left_semi")

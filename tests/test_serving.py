@@ -251,3 +251,27 @@ def test_salience(rows):
     assert {r.keyword: (r.current, r.previous, r.change, r.rank) for r in found} == {
         "tax": (2, 1, 100.0, 1), "solar": (1, 0, None, 2), "wind": (0, 0, None, 3),
     }
+
+
+def test_a_hot_article_is_split_in_the_reference_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    ids = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).cast("string")
+    records = spark.range(0, 60_000, 1, 8).select(ids.alias("article_id"), F.col("id").alias("record_id"))
+    articles = spark.range(0, 60_000, 2).select(F.col("id").cast("string").alias("article_id"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        lost = latest.orphan_records(records, articles)
+        assert len(lost.collect()) == 40_000
+        assert "skew=true" in lost._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
