@@ -75,7 +75,8 @@ def velocity_series(
         .agg(F.avg("biasScore").alias("value"), F.count(F.lit(1)).alias("articles"))
         .select(F.col("span.start").alias("bucket_start"), "value", "articles")
     )
-    highest = series.select(F.max("value").alias("highest")).scalar()
+    # The range holds few buckets, at most its length over the bucket's, so one task may look at all of them.
+    highest = F.max("value").over(W.partitionBy(F.lit(0)))
     return series.withColumn("is_peak", F.coalesce(F.col("value") == highest, F.lit(False)))
 
 
