@@ -12,6 +12,8 @@ Null and empty texts have no words and no labels; positions are then null and th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,28 +69,33 @@ FORMS = [
     (r"licen[sc]e {}(?: v?\d+){{0,2}}", 6, 0.6),
 ]
 
-# Keyword, sentence, label, priority, weight.
+# Sentence, label, priority, weight.
 SENTENCES = [
-    ("hereby", "permission is hereby granted free of charge to any person obtaining a copy", "mit", 1, 1.0),
-    ("infringement", "in no event shall the authors or copyright holders be liable", "mit", 4, 0.7),
-    ("redistribution", "redistribution and use in source and binary forms(?: with or without modification)?", "bsd", 1, 1.0),
-    ("endorse", "may be used to endorse or promote products derived", "bsd", 3, 0.9),
-    ("compliance", "you may not use this file except in compliance with the license", "apache", 1, 1.0),
-    ("basis", "distributed on an as is basis without warranties or conditions of any kind", "apache", 2, 0.9),
-    ("redistribute", "free software you can redistribute it and or modify it", "gpl", 1, 1.0),
-    ("merchantability", "without even the implied warranty of merchantability", "gpl", 3, 0.8),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "isc", 1, 1.0),
-    ("unencumbered", "free and unencumbered software released into the public domain", "unlicense", 1, 1.0),
-    ("domain", "(?:is|are) (?:hereby )?(?:placed|released|dedicated)? ?(?:in|into|to) the public domain", "public-domain", 2, 0.9),
-    ("boost", "boost software license version 1 0", "boost", 1, 1.0),
-    ("misrepresented", "the origin of this software must not be misrepresented", "zlib", 1, 1.0),
-    ("mozilla", "subject to the terms of the mozilla public license", "mpl", 1, 1.0),
-    ("waived", "waived all copyright and related or neighboring rights", "cc0", 1, 1.0),
-    ("proprietary", "proprietary and confidential", "proprietary", 2, 0.8),
-    ("rights", "all rights reserved", "all-rights-reserved", 6, 0.3),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 1, 1.0),
+    ("in no event shall the authors or copyright holders be liable", "mit", 4, 0.7),
+    ("redistribution and use in source and binary forms(?: with or without modification)?", "bsd", 1, 1.0),
+    ("may be used to endorse or promote products derived", "bsd", 3, 0.9),
+    ("you may not use this file except in compliance with the license", "apache", 1, 1.0),
+    ("distributed on an as is basis without warranties or conditions of any kind", "apache", 2, 0.9),
+    ("free software you can redistribute it and or modify it", "gpl", 1, 1.0),
+    ("without even the implied warranty of merchantability", "gpl", 3, 0.8),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 1, 1.0),
+    ("free and unencumbered software released into the public domain", "unlicense", 1, 1.0),
+    ("(?:is|are) (?:hereby )?(?:placed|released|dedicated)? ?(?:in|into|to) the public domain", "public-domain", 2, 0.9),
+    ("boost software license version 1 0", "boost", 1, 1.0),
+    ("the origin of this software must not be misrepresented", "zlib", 1, 1.0),
+    ("subject to the terms of the mozilla public license", "mpl", 1, 1.0),
+    ("waived all copyright and related or neighboring rights", "cc0", 1, 1.0),
+    ("proprietary and confidential", "proprietary", 2, 0.8),
+    ("all rights reserved", "all-rights-reserved", 6, 0.3),
 ]
 
 
+def fixed_part(expression: str) -> str:
+    """The longest run of words outside all groups: every match contains it."""
+    return max(re.split(r"\(\?:[^()]*\)\??| \?", expression), key=len).strip()
+
+
 def signature_rules() -> list[tuple[str, str, str, int, float]]:
     """All rules: keyword, regular expression, label, priority, weight."""
     named = [
@@ -97,7 +104,7 @@ def signature_rules() -> list[tuple[str, str, str, int, float]]:
         for name in names
         for form, priority, weight in FORMS
     ]
-    return named + SENTENCES
+    return named + [(fixed_part(sentence), sentence, *rest) for sentence, *rest in SENTENCES]
 
 
 def _whole(expression: Column | str) -> Column:

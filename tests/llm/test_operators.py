@@ -141,6 +141,15 @@ def test_license_places_and_labels(docs, none):
     assert len(licenses.signature_rules()) > 200
 
 
+def test_sentences_of_mit_and_isc_texts(rows):
+    texts = [
+        "MERCHANTABILITY AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted",
+    ]
+    found = licenses.scan(rows(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in found] == ["mit", "isc"]
+
+
 def test_shards_are_exact_and_repeatable(docs, none):
     rows = sharding.shard_report(docs).collect()
     slots = collections.defaultdict(list)
