@@ -2,8 +2,8 @@
 
 A rule is a regular expression over a text's words, with a keyword, a label, a priority and a weight. The rules are
 the license names below, spelled as people spell them, in every form of mention, and sentences out of license
-texts. A text is looked at only if it holds one of the gate words, and a rule only if its keyword stands in the
-text. Detections are intervals of words. In order of their start, longest first, a detection inside an earlier one is
+texts. Rules of one form share phrases, one of which stands in every match; a text's words are looked up for these
+phrases, then for the rule's name, and only then for its expression, so that no match is lost. Detections are intervals of words. In order of their start, longest first, a detection inside an earlier one is
 suppressed, and of two that overlap the one of higher priority stays.
 
 The base phrases are counted at every place, suppressed or not, and their labels are always reported.
@@ -13,18 +13,18 @@ Null and empty texts have no words and no labels; positions are then null and th
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import LOWER, UPPER
-
 # Phrases and labels to be counted.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before it
-GATE = r"(?i)licen[sc]e|copyright|spdx|redistribut|public domain|hereby granted|free software|as is"
+# The two letters beyond ASCII whose lower case has an ASCII letter, and one that stands for them.
+TO_ASCII, KEPT = ("\u0130", "\u212a"), "\u00e6"
 
 NAMES = {
     "mit": ["mit", "expat", "x11"],
@@ -58,15 +58,18 @@ NAMES = {
     "ms-pl": ["ms pl", "microsoft public"],
 }
 
-# Form, priority (1 is strongest), weight. {} is a name.
+VERBS = ("licensed", "released", "distributed", "available", "published", "provided", "covered")
+LICENSE = ("license", "licence")
+
+# Phrases, one of which stands in every match; form, priority (1 is strongest), weight. {} is a name.
 FORMS = [
-    (r"spdx license identifier {}(?: \d+){{0,2}}(?: only| or later)?", 1, 1.0),
-    (r"(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?{}"
+    (("spdx license identifier",), r"spdx license identifier {}(?: \d+){{0,2}}(?: only| or later)?", 1, 1.0),
+    (tuple(f"{v} under" for v in VERBS), rf"(?:{'|'.join(VERBS)}) under (?:the )?(?:terms of (?:the )?)?{{}}"
      r"(?: licen[sc]e)?(?: version)?(?: v?\d+){{0,2}}", 2, 0.95),
-    (r"{} licen[sc]e (?:version )?v?\d+(?: \d+)?", 3, 0.9),
-    (r"see (?:the )?{} licen[sc]e(?: for(?: more)? details)?", 4, 0.85),
-    (r"{} licen[sc]e", 5, 0.8),
-    (r"licen[sc]e {}(?: v?\d+){{0,2}}", 6, 0.6),
+    (LICENSE, r"{} licen[sc]e (?:version )?v?\d+(?: \d+)?", 3, 0.9),
+    (LICENSE, r"see (?:the )?{} licen[sc]e(?: for(?: more)? details)?", 4, 0.85),
+    (LICENSE, r"{} licen[sc]e", 5, 0.8),
+    (LICENSE, r"licen[sc]e {}(?: v?\d+){{0,2}}", 6, 0.6),
 ]
 
 # Sentence, label, priority, weight.
@@ -96,15 +99,21 @@ def fixed_part(expression: str) -> str:
     return max(re.split(r"\(\?:[^()]*\)\??| \?", expression), key=len).strip()
 
 
+def rule_groups() -> dict[tuple[str, ...], list[tuple[str, str, str, int, float]]]:
+    """The rules by the phrases of which every match contains one: words in every match, regular expression, label,
+    priority, weight."""
+    groups: dict[tuple[str, ...], list[tuple[str, str, str, int, float]]] = {}
+    for phrases, form, priority, weight in FORMS:
+        rules = [(name, form.format(name), label, priority, weight) for label, names in NAMES.items() for name in names]
+        groups.setdefault(phrases, []).extend(rules)
+    for sentence, *rest in SENTENCES:
+        groups.setdefault((fixed_part(sentence),), []).append((fixed_part(sentence), sentence, *rest))
+    return groups
+
+
 def signature_rules() -> list[tuple[str, str, str, int, float]]:
-    """All rules: keyword, regular expression, label, priority, weight."""
-    named = [
-        (max(name.split(), key=len), form.format(name), label, priority, weight)
-        for label, names in NAMES.items()
-        for name in names
-        for form, priority, weight in FORMS
-    ]
-    return named + [(fixed_part(sentence), sentence, *rest) for sentence, *rest in SENTENCES]
+    """All rules: words in every match, regular expression, label, priority, weight."""
+    return [rule for rules in rule_groups().values() for rule in rules]
 
 
 def _whole(expression: Column | str) -> Column:
@@ -121,11 +130,19 @@ def _places(words: Column, expression: Column | str) -> Column:
     return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
 
 
+def _holds(words: Column, phrase: Column | str) -> Column:
+    return F.contains(words, F.concat(F.lit(" "), F.lit(phrase), F.lit(" ")))
+
+
 def _matching_rules(words: Column) -> Column:
-    """The rules whose keyword and then whose expression is found."""
+    """The rules whose phrase, then whose words and then whose expression is found."""
     names = ("word", "regex", "label", "priority", "weight")
-    rules = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in signature_rules()])
-    gated = F.filter(rules, lambda r: F.contains(words, F.concat(F.lit(" "), r["word"], F.lit(" "))))
+    of_groups = []
+    for phrases, rules in rule_groups().items():
+        listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rules])
+        in_text = reduce(or_, [_holds(words, p) for p in phrases])
+        of_groups.append(F.when(in_text, F.filter(listed, lambda r: _holds(words, r["word"]))))
+    gated = F.flatten(F.array_compact(F.array(*of_groups)))
     return F.filter(gated, lambda r: F.regexp_like(words, _whole(r["regex"])))
 
 
@@ -170,19 +187,19 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     no_places = F.array().cast("array<struct<start:int,end:int>>")
     no_hits = F.array().cast("array<struct<start:int,minus_end:int,priority:int,label:string,weight:double>>")
+    beyond = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(KEPT)), TO_ASCII, text)
     rows = docs.select(
         "doc_id",
-        F.regexp_count(text, F.lit(CASED_WORD)).cast("long").alias("n_words"),
-        F.when(
-            F.regexp_like(text, F.lit(GATE)),
-            F.concat(F.lit(" "), F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATORS, " "), F.lit(" ")),
-        ).alias("words"),
+        # Rules are ASCII, so that letters beyond it may change their case as long as they stay beyond it.
+        F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(beyond), SEPARATORS, " ")), F.lit(" ")).alias("words"),
     )
+    blanks = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" ")))
+    rows = rows.withColumn("n_words", F.when(F.col("words") == "  ", 0).otherwise(blanks - 1).cast("long"))
     for phrase, label in BASE.items():
         places = F.when(F.contains("words", F.lit(f" {phrase} ")), _places(F.col("words"), phrase))
         rows = rows.withColumn(f"at_{label}", F.coalesce(places, no_places))
     # Each step is a column that the next one names twice; written in one, the steps would be repeated.
-    rows = rows.withColumn("rules", F.when(F.col("words").isNotNull(), _matching_rules(F.col("words"))))
+    rows = rows.withColumn("rules", _matching_rules(F.col("words")))
     rows = rows.withColumn("found", F.when(F.size("rules") > 0, _detections(F.col("words"), F.col("rules"))))
     rows = rows.withColumn("hits", F.coalesce(F.when(F.size("found") > 0, _surviving(F.col("found"))), no_hits))
     places = F.concat(*[F.transform(f"at_{label}", lambda p: p["start"]) for label in BASE.values()])

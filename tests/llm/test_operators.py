@@ -150,6 +150,41 @@ def test_sentences_of_mit_and_isc_texts(rows):
     assert [r.labels for r in found] == ["mit", "isc"]
 
 
+def mention(expression):
+    """A shortest text that a rule's expression matches, with other separators than blanks."""
+    short = re.sub(r"\(\?:[^()]*\)(?:\?|\{\d,\d\})| \?|v\?", lambda m: " " if m[0] == " ?" else "", expression)
+    while "(?:" in short:
+        short = re.sub(r"\(\?:([^()]*)\)", lambda m: random.choice(m[1].split("|")), short)
+    short = short.replace("[sc]", random.choice("sc")).replace(r"\d+", "2")
+    return re.sub(" +", lambda m: random.choice([" ", "\n", "-", ", "]), short).title()
+
+
+def spans_of_all_rules(text):
+    """Label and place of every match of every rule, suppressed in order of start, longest first, strongest first."""
+    listed = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    joined, found, kept = f" {' '.join(listed)} ", [], []
+    for _, expression, label, priority, weight in licenses.signature_rules():
+        for m in re.finditer(f"(?<= )(?:{expression})(?= )", joined):
+            start = joined[: m.start()].count(" ") - 1
+            found.append((start, -(start + m[0].count(" ")), priority, label, weight))
+    for new in sorted(found):
+        if not kept or new[0] > -kept[-1][1]:
+            kept.append(new)
+        elif new[1] < kept[-1][1] and new[2] < kept[-1][2]:
+            kept[-1] = new
+    return [(label, start, -end) for start, end, _, label, _ in kept]
+
+
+def test_every_rule_is_found_where_a_scan_without_gates_finds_it(rows):
+    alone = [mention(rule[1]) for rule in licenses.signature_rules()]
+    mixed = [f"{prose(5)} {random.choice(alone)}. {random.choice(alone)} {prose(3)}" for _ in range(100)]
+    texts = [*alone, *mixed, "dedicated to the public\nDomain", "Released under the GPL v3.", "mar\u212aed \u0130sc \u212a license mit"]
+    found = licenses.scan(rows(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(found) == len(texts) and all(r.labels for r in found[: len(alone)])
+    for r in found:
+        assert [tuple(s) for s in r.spans] == spans_of_all_rules(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_shards_are_exact_and_repeatable(docs, none):
     rows = sharding.shard_report(docs).collect()
     slots = collections.defaultdict(list)
