@@ -268,6 +268,29 @@ def test_language_model_against_counts(docs, none):
     assert lm_scoring.score_texts(none).count() == 0
 
 
+def bigram_scores(data):
+    """Scores by a plain Python model with the counts of all word pairs; data are (id, text)."""
+    training = [[b" ", *words(t), b"\n"] for i, t in data if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    single = collections.Counter(w for t in training for w in t)
+    pairs = collections.Counter(p for t in training for p in zip(t, t[1:]))
+    n, v = sum(len(t) - 1 for t in training), len(single) - 1
+    for i, text in data:
+        read = [b" ", *words(text), b"\n"]
+        root = [(single[w] + 0.5) / (n + 0.5 * (v + 1)) for w in read]
+        steps = zip(read, read[1:], root[1:])
+        yield i, sum(math.log10((pairs[h, w] + 500 * p) / (single[h] + 500)) for h, w, p in steps)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+def test_language_model_counts_pairs_of_rare_words(rows, monkeypatch, block_bytes):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block_bytes)
+    rare = "a lone zebra crossing"
+    data = [(0, "the same words " * 50_000), (1, rare), (2, rare), (3, "zebra crossing again"), (4, "Crossing zebra"), (5, None)]
+    data += [(i, prose(random.randint(1, 40))) for i in range(6, 40)]
+    found = {r.doc_id: r.score for r in lm_scoring.score_texts(rows(data, "doc_id long, text string")).collect()}
+    assert found == pytest.approx(dict(bigram_scores(data)))
+
+
 def brute_distance(term, word):
     row = list(range(len(word) + 1))
     for i, a in enumerate(term, 1):
