@@ -11,10 +11,13 @@ from newsflow.llm import (
     bpe,
     exact_dedup,
     fingerprints,
+    importance,
     licenses,
     lm_scoring,
     mixing,
     near_dedup,
+    phrases,
+    quality,
     sharding,
     toxicity,
     warc,
@@ -75,6 +78,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(documents(spark, sf_dir))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def registry() -> dict[str, Query]:
     queries = (
         op1_mix_sources,
@@ -87,6 +102,9 @@ def registry() -> dict[str, Query]:
         op8_warc,
         op9_near_dedup,
         op10_lm_scoring,
+        op11_importance,
+        op12_quality,
+        op13_phrases,
     )
     return {q.__name__: q for q in queries}
 
@@ -155,5 +173,74 @@ FROM d LEFT JOIN s USING (doc_id) JOIN (SELECT node, min(other) AS least FROM c
 """
 
 
+RESAMPLED = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+t AS (
+  SELECT doc_id, true AS ours, text FROM documents UNION ALL SELECT item_id, false, text FROM benchmark),
+w AS (
+  SELECT doc_id, ours,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM t),
+f AS (SELECT doc_id, ours, unnest(words) AS word FROM w),
+b AS (
+  SELECT word, xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(len(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)),
+           lambda c, o: xor(c >> 8, steps[(xor(c, o) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM f), crc),
+n AS (SELECT bucket, count(*) FILTER (WHERE ours) AS s, count(*) FILTER (WHERE NOT ours) AS t FROM f JOIN b USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain
+  FROM n),
+m AS (
+  SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE ours GROUP BY doc_id),
+r AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM w LEFT JOIN m USING (doc_id) WHERE ours),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS fit FROM r WHERE n_features >= 20)
+SELECT r.*, CASE WHEN k.rank <= 10 * k.fit // 100 THEN k.rank END AS rank FROM r LEFT JOIN k USING (doc_id)
+"""
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k)
+  WHERE i + k - 1 <= len(words) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM g WHERE k >= 2 AND f >= 30),
+u AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.cut], ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1:], ' ')),
+s AS (
+  SELECT lang, phrase, any_value(a) AS a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score
+  FROM u GROUP BY lang, phrase),
+o AS (
+  SELECT lang, array_to_string(words[i:j], ' ') AS phrase, max(a) AS around
+  FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM c))
+  WHERE j - i + 1 < k GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s LEFT JOIN o USING (lang, phrase) JOIN n USING (lang)
+WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_mix_sources": MIX, "op4_exact_dedup": COPIES, "op9_near_dedup": SHINGLES}
+    return {
+        "op1_mix_sources": MIX,
+        "op4_exact_dedup": COPIES,
+        "op9_near_dedup": SHINGLES,
+        "op11_importance": RESAMPLED,
+        "op13_phrases": COLLOCATIONS,
+    }
