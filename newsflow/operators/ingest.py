@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.functions import payload as js
-from newsflow.functions.text import is_iso_8601, script_trim
+from newsflow.functions.text import is_blank, is_iso_8601, is_uuid, script_trim
 from newsflow.schemas import RAW_FIELDS, RAW_MESSAGE, SCHEMA_VERSION
 
 
@@ -103,6 +103,13 @@ def validate_raw(df: DataFrame, item: str = "item") -> DataFrame:
     return fields.withColumn("error_reason", reason).drop("spreads")
 
 
+def checked_ids(rows: DataFrame, key: str) -> DataFrame:
+    """Add ``error_reason`` to rows whose id a table of UUIDs would refuse; ``accepted`` and ``rejected`` part them."""
+    value = F.col(key)
+    reason = F.when(value.isNull() | is_blank(value), F.lit(f"{key} is missing")).when(~is_uuid(value), F.lit(f"{key} is no UUID"))
+    return rows.withColumn("error_reason", reason)
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("error_reason").isNull()).drop("error_reason")
 

@@ -1,7 +1,7 @@
 """Pages, keyset pages and capped recent sets.
 
 ``page_of`` is a distributed top-k, which carries ``offset + size`` rows and suits pages near the top.
-``page_by_position`` sorts the keys and cuts the page out of them, for pages far down; the caller picks.
+``page_by_position`` finds a page far down by counts per day and second and sorts what is left; the caller picks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from newsflow.functions.times import instant
 from newsflow.operators.latest import latest_scores
 from newsflow.operators.predictions import predictions_union
 from newsflow.operators.trending import trending_topics
-from newsflow.sources.session import ensure_checkpoint_dir
 
 # Page defaults and bounds.
 DEFAULT_PAGE, DEFAULT_SIZE, MAX_SIZE = 1, 20, 100
 
+DAY_MICROS, SECOND_MICROS = 86_400_000_000, 1_000_000
+
 # Sizes of the recent sets kept per kind.
 RECENT_ARTICLES, RECENT_BURSTS, RECENT_FORECASTS, RECENT_SIGNALS, RECENT_TOPICS = 200, 20, 50, 100, 100
 
@@ -45,28 +46,35 @@ def page_of(df: DataFrame, newest: str, key: str, page: int | None = None, size:
 
 
 def page_by_position(df: DataFrame, newest: str, key: str, page: int | None = None, size: int | None = None) -> DataFrame:
-    """The page of ``page_of``, cut out of the globally sorted keys. Runs the sort as a job.
+    """The page of ``page_of``, found by counting instead of sorting all rows above it. Runs two small jobs.
 
-    Rows with equal time and key have no order among them; the page has as many of them as fit. The sorted keys are checkpointed, so the row numbers (partition number in the upper bits, row in the
-    lower) refer to one fixed layout. Per-partition counts give every partition's first position; only those
-    counts, one row per partition, are summed in a single task.
+    Rows per day, one number for each day of the calendar, say by their running sum which days the page falls into; rows per
+    second say the same within these. What is left, as a range of ``newest`` that reaches the scan, is sorted. Rows without
+    a time come last. Rows with equal time and key are ordered by a hash of their columns, so that each is on one page.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     page, size = clamp(page, size)
-    offset, order = (page - 1) * size, _newest_first(newest, key)
-    keys = df.select(newest, key).orderBy(*order).checkpoint().withColumn("_row", F.monotonically_increasing_id())
-    part, nth = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = keys.select(F.col(newest).alias("_time"), F.col(key).alias("_of"), part.alias("_part"), nth.alias("_nth"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    )
-    position = F.col("_start") + F.col("_nth")
-    wanted = placed.join(starts, "_part").filter((position >= offset) & (position < offset + size))
-    same = F.col(newest).eqNullSafe(F.col("_time")) & F.col(key).eqNullSafe(F.col("_of"))
-    return df.join(wanted, same, "left_semi").orderBy(*order).limit(size)
+    offset = (page - 1) * size
+    micros = F.unix_micros(F.col(newest).cast("timestamp"))
+    rows, skipped = df, 0
+    for unit in (DAY_MICROS, SECOND_MICROS):
+        start = (micros - F.pmod(micros, F.lit(unit))).alias("_start")
+        counts = rows.groupBy(start).agg(F.count(F.lit(1)).alias("_rows"))
+        # At most one row for each day, then 86,400 for each of the days found.
+        running = F.sum("_rows").over(W.orderBy(F.col("_start").desc_nulls_last()))
+        above = counts.withColumn("_above", skipped + running - F.col("_rows"))
+        here = above.filter((F.col("_above") < offset + size) & (F.col("_above") + F.col("_rows") > offset))
+        found = here.agg(F.min("_start"), F.max("_start"), F.count_if(F.col("_start").isNull()), F.min("_above")).first()
+        low, high, without, first = found
+        if first is None:
+            return df.limit(0)
+        skipped = first
+        kept = F.lit(False)
+        if low is not None:
+            bounds = [F.timestamp_micros(F.lit(m)).cast(df.schema[newest].dataType) for m in (low, high + unit)]
+            kept = (F.col(newest) >= bounds[0]) & (F.col(newest) < bounds[1])
+        rows = df.filter(kept | F.col(newest).isNull() if without else kept)
+    order = [*_newest_first(newest, key), F.xxhash64(*df.columns)]
+    return rows.orderBy(*order).offset(offset - skipped).limit(size)
 
 
 def page_after(

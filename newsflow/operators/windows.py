@@ -41,17 +41,28 @@ def topic_of(key: Column) -> Column:
 
 
 def with_event_time(
-    analyzed: DataFrame, ts: str = "publishedAt", fallback: str = "analysisTimestamp", ahead: str = "1 day"
+    analyzed: DataFrame,
+    ts: str = "publishedAt",
+    fallback: str = "analysisTimestamp",
+    ahead: str = "1 day",
+    received: str | None = None,
 ) -> DataFrame:
     """Turn the publication text into a timestamp; where it is no real date, the analysis time stands in.
 
-    Windows leave out rows without a time, so every message needs one to be counted. A time more than ``ahead`` past
-    the analysis can't be true; the analysis time stands in there too, or one such message would move the watermark
-    of a stream past all others.
+    A time more than ``ahead`` past the analysis can't be true, or one such message would move the watermark of a stream past
+    all others; the analysis time stands in there too. ``received`` names a timestamp of the broker, which takes the place
+    of a missing analysis time. Where nothing bounds the publication time it is not believed, and the row has no time:
+    windows leave it out, and ``without_event_time`` gives it.
     """
     told, analysed = parse_iso(F.col(ts)), parse_iso(F.col(fallback))
-    too_late = told > analysed + F.expr(f"INTERVAL {ahead}")
-    return analyzed.withColumn(ts, F.coalesce(F.when(too_late, analysed), told, analysed))
+    bound = analysed if received is None else F.coalesce(analysed, F.col(received))
+    believed = F.when(told <= bound + F.expr(f"INTERVAL {ahead}"), told)
+    return analyzed.withColumn(ts, F.coalesce(believed, bound))
+
+
+def without_event_time(timed: DataFrame, ts: str = "publishedAt") -> DataFrame:
+    """The rows that ``with_event_time`` could give no time, for the rejected output."""
+    return timed.filter(F.col(ts).isNull())
 
 
 def named_source(source: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,13 +17,15 @@ from pyspark.sql import types as T
 from newsflow.functions import payload as js
 from newsflow.functions.bands import plain_score_text
 from newsflow.operators import ingest, lag, latest, live, metrics, pages, predictions, quality, scoring, trending, windows
-from newsflow.plans.views import DAY_MS, SECOND_KEYWORDS, THRESHOLD, Views, articles_of
-from newsflow.sources import sinks, streams
+from newsflow.plans.views import DAY_MS, SECOND_KEYWORDS, THRESHOLD, Views, analyzed_of, articles_of
+from newsflow.schemas import ARTICLES, BIAS_RECORDS
+from newsflow.sources import buckets, commits, sinks, streams, upserts
 from newsflow.sources.seed import seed_tables
 from newsflow.sources.session import fresh_dir
 from newsflow.streaming import live as stream_live
-from newsflow.streaming.run import drain_batches, drain_to_parquet
-from newsflow.streaming.windows import directed_windows, stream_bursts, stream_forecasts
+from newsflow.streaming.progress import HISTORY, LagHistory, lag_over_time
+from newsflow.streaming.run import drain_batches, drain_quiet, drain_to_parquet
+from newsflow.streaming.windows import LATE, WINDOW, arrivals, directed_windows, quiet_windows, stream_bursts, stream_forecasts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,13 +92,13 @@ def trend_forecast(v: Views) -> DataFrame:
 
 @_query
 def burst_detection_stream(v: Views) -> DataFrame:
-    stream = stream_bursts(v.analyzed_stream, THRESHOLD, DAY_MS, clock=v.end_clock)
+    stream = stream_bursts(v.analyzed_stream, THRESHOLD, DAY_MS, delay="0 seconds", clock=v.end_clock)
     return drain_to_parquet(stream, fresh_dir(v.spark, "bursts"))
 
 
 @_query
 def trend_forecast_stream(v: Views) -> DataFrame:
-    stream = stream_forecasts(v.analyzed_stream, THRESHOLD, DAY_MS, clock=v.end_clock)
+    stream = stream_forecasts(v.analyzed_stream, THRESHOLD, DAY_MS, delay="0 seconds", clock=v.end_clock)
     return drain_to_parquet(stream, fresh_dir(v.spark, "forecasts"))
 
 
@@ -104,7 +107,7 @@ def predictions_stream(v: Views) -> DataFrame:
     """Both branches from one streaming aggregate, each inserted if absent, read back as one list."""
     place = fresh_dir(v.spark, "predictions")
     write = sinks.save_predictions(f"{place}/bursts", f"{place}/forecasts", THRESHOLD)
-    drain_batches(directed_windows(v.analyzed_stream, DAY_MS, clock=v.end_clock), write)
+    drain_batches(directed_windows(v.analyzed_stream, DAY_MS, delay="0 seconds", clock=v.end_clock), write)
     stored = [
         sinks.read_table(v.spark, f"{place}/{name}", frame.schema)
         for name, frame in (("bursts", v.bursts), ("forecasts", v.forecasts))
@@ -112,6 +115,49 @@ def predictions_stream(v: Views) -> DataFrame:
     return predictions.predictions_union(*stored)
 
 
+@_query
+def trend_forecast_quiet(v: Views) -> DataFrame:
+    """Forecasts of a stream that falls silent: windows close by their own timers, without a clock."""
+    directed = quiet_windows(v.analyzed_stream, DAY_MS, quiet_ms=2_000, delay_ms=2 * DAY_MS)
+    return drain_quiet(windows.to_forecasts(directed, THRESHOLD), fresh_dir(v.spark, "forecasts"), 2_000)
+
+
+@_query
+def late_rows(v: Views) -> DataFrame:
+    """Events that arrive in waves, some too late for their window: rows counted in time and late ones, per closed window."""
+    place = fresh_dir(v.spark, "waves")
+    for wave in v.waves:
+        arrived = wave.withColumn("ts", F.col("ts").cast("timestamp"))
+        arrived.write.mode("append").parquet(f"{place}/in")
+        stream = analyzed_of(v.spark.readStream.schema(arrived.schema).parquet(f"{place}/in"))
+        found = drain_to_parquet(arrivals(stream, DAY_MS, delay="1 day"), f"{place}/out", f"{place}/progress")
+    counts = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("volume"))), F.lit(0)) for k in (WINDOW, LATE)]
+    per_window = found.groupBy("topic_key", "window_start", "window_end").agg(counts[0].alias("on_time"), counts[1].alias("late"))
+    return per_window.withColumn("arrived", F.col("on_time") + F.col("late"))
+
+
+@_query
+def expiring_windows_stream(v: Views) -> DataFrame:
+    """Windows of six hours; a key that was silent for six hours has no window before."""
+    quarter = DAY_MS // 4
+    stream = directed_windows(v.analyzed_stream, quarter, delay="0 seconds", ttl_ms=quarter, clock=v.end_clock)
+    return drain_to_parquet(stream, fresh_dir(v.spark, "expiring"))
+
+
+@_query
+def event_times(v: Views) -> DataFrame:
+    """Times told as text, some unreal, far ahead or missing, some without a time of analysis; rows with none at all."""
+    told, shape = F.date_format("publishedAt", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("articleId").cast("bigint") % 6
+    messages = v.analyzed.select(
+        "articleId",
+        F.when(shape == 1, F.lit("2024-13-15T10:30:00Z")).when(shape == 2, F.lit("2099-01-01T00:00:00Z")).when(shape != 3, told).alias("publishedAt"),
+        F.when(~shape.isin(4, 5), told).alias("analysisTimestamp"),
+        F.when(shape != 5, F.col("publishedAt").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("received_at"),
+    )
+    timed = windows.with_event_time(messages, received="received_at")
+    return timed.select("articleId", "publishedAt", F.col("publishedAt").isNull().alias("rejected"))
+
+
 # Trending, predictions, pages
 
 
@@ -157,6 +203,18 @@ def seeded_trending(v: Views) -> DataFrame:
     return trending.trending_topics(*loaded)
 
 
+@_query
+def seeded_articles(v: Views) -> DataFrame:
+    """Seed articles and their records loaded twice into the derived tables, then every article with its latest score."""
+    seeds = seed_tables(v.spark, NOW)
+    tables = {"articles": (v.articles, "article_id", "ingested_at"), "bias_records": (v.bias_records, "record_id", "analysis_timestamp")}
+    loaded = []
+    for name, (table, key, arrival) in tables.items():
+        seed = seeds[name].select(*(F.col(f.name).cast(f.dataType) for f in table.schema.fields))
+        loaded.append(table.unionByName(sinks.absent_rows(seed.unionByName(seed), table, key, [arrival], {})))
+    return latest.with_latest_score(*loaded)
+
+
 @_query
 def predictions_union(v: Views) -> DataFrame:
     return predictions.predictions_union(v.bursts, v.forecasts)
@@ -192,6 +250,26 @@ def articles_latest_score(v: Views) -> DataFrame:
     return latest.with_latest_score(v.articles, v.bias_records)
 
 
+@_query
+def articles_latest_score_stream(v: Views) -> DataFrame:
+    """Scores kept up to date by a stream of records, which writes the articles of each batch only."""
+    place = fresh_dir(v.spark, "scores")
+    v.bias_records.write.parquet(f"{place}/in")
+    stream = v.spark.readStream.schema(v.bias_records.schema).parquet(f"{place}/in")
+    drain_batches(stream, stream_live.save_latest_scores(f"{place}/out", "first"))
+    return v.articles.join(stream_live.read_latest_scores(v.spark, f"{place}/out"), "article_id", "left")
+
+
+@_query
+def articles_page_stream(v: Views) -> DataFrame:
+    """The first page with its scores, read from the buckets of its articles alone."""
+    place = fresh_dir(v.spark, "scores")
+    stream_live.save_latest_scores(f"{place}/out", "first")(v.bias_records, 0)
+    shown = pages.page_of(v.articles, "published_at", "article_id")
+    scores = stream_live.read_latest_scores(v.spark, f"{place}/out", among=shown)
+    return shown.join(scores, "article_id", "left")
+
+
 @_query
 def articles_page(v: Views) -> DataFrame:
     return pages.articles_page(v.articles, v.bias_records)
@@ -210,7 +288,7 @@ def articles_after(v: Views) -> DataFrame:
 
 @_query
 def deep_page(v: Views) -> DataFrame:
-    """A page cut out of the sorted keys by position."""
+    """A page found by the counts of days and seconds above it."""
     return pages.page_by_position(v.analyzed, "publishedAt", "articleId", page=8, size=100)
 
 
@@ -275,6 +353,14 @@ def model_score(v: Views) -> DataFrame:
     return scored.select("doc_id", "biasScore", "biasLabel", "errorFlag")
 
 
+@_query
+def model_score_stream(v: Views) -> DataFrame:
+    """The model over the documents as a stream."""
+    stream = v.spark.readStream.schema(v.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(v.sf_dir)
+    scored = scoring.score_model(stream, _load_letter_model, _predict_letter_share, "text")
+    return drain_to_parquet(scored.select("doc_id", "biasScore", "biasLabel", "errorFlag"), fresh_dir(v.spark, "scored"))
+
+
 @_query
 def score_range(v: Views) -> DataFrame:
     """Raw event values as if they were scores: only those in [0, 1] are valid."""
@@ -387,6 +473,37 @@ def consumer_lag(v: Views) -> DataFrame:
     return totals.select("group_id", "total_lag", "breached", F.array_join(listed, ",").alias("partitions"))
 
 
+@_query
+def lag_edges(v: Views) -> DataFrame:
+    """Lag where a group has committed nothing yet (-1) and where the end of a partition is unknown."""
+    committed, ends = v.offsets()
+    none_yet = F.when(F.col("partition") == 1, F.lit(-1).cast("long")).otherwise(F.col("committed"))
+    return lag.partition_lag(committed.withColumn("committed", none_yet), ends.filter("partition != 2"))
+
+
+@_query
+def lag_history(v: Views) -> DataFrame:
+    """Progress of a running query over files, one wave of events after the other: a row for each batch."""
+    place = fresh_dir(v.spark, "history")
+    listener = LagHistory(v.spark, f"{place}/history", "reader", "lag-history")
+    v.spark.streams.addListener(listener)
+    try:
+        for number, wave in enumerate(v.waves):
+            wave.coalesce(1).write.mode("append").parquet(f"{place}/in")
+        stream = v.spark.readStream.schema(wave.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        query = (
+            stream.writeStream.format("noop").queryName("lag-history").option("checkpointLocation", f"{place}/progress")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        listener.wait(60)
+    finally:
+        v.spark.streams.removeListener(listener)
+    read = v.spark.read.schema(HISTORY).parquet(f"{place}/history")
+    totals = lag_over_time(read).select("batch_id", "total_lag")
+    return read.select("batch_id", "group_id", "topic", "partition", "committed", "input_rows").join(totals, "batch_id")
+
+
 # Live messages
 
 
@@ -427,6 +544,31 @@ def dedup_first_stream(v: Views) -> DataFrame:
     return v.spark.read.schema(v.deliveries.schema).parquet(f"{place}/out")
 
 
+@_query
+def dedup_within_stream(v: Views) -> DataFrame:
+    """Ids remembered by a stream: messages, then their repeats a batch later, of which none is left."""
+    place = fresh_dir(v.spark, "remembered")
+    again = F.col("title").endswith(" again")
+    for batch in (v.deliveries.filter(~again), v.deliveries.filter(again)):
+        batch.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).write.mode("append").parquet(f"{place}/in")
+        stream = v.spark.readStream.schema(v.spark.read.parquet(f"{place}/in").schema).parquet(f"{place}/in")
+        first = stream_live.dedup_stream(stream, "articleId", "arrived_at", "60 days")
+        found = drain_to_parquet(first, f"{place}/out", f"{place}/progress")
+    return found
+
+
+@_query
+def capped_topics(v: Views) -> DataFrame:
+    """Events as topics of several hundred keys: the hundred that appeared last, with their newest message."""
+    events = v.table("events").select(
+        F.col("event_type").alias("topic_name"),
+        F.concat(F.lit("u"), (F.col("user_id") % 300).cast("string")).alias("platform"),
+        F.col("ts").alias("updated_at"),
+        F.col("event_id").alias("id"),
+    )
+    return live.upsert_latest(events, order=("updated_at", "id"), cap=pages.RECENT_TOPICS)
+
+
 @_query
 def upsert_latest(v: Views) -> DataFrame:
     return live.upsert_latest(
@@ -440,8 +582,20 @@ def upsert_latest_stream(v: Views) -> DataFrame:
     updates = trending.trending_updates(v.bursts, v.forecasts)
     updates.write.parquet(f"{place}/in")
     stream = v.spark.readStream.schema(updates.schema).parquet(f"{place}/in")
-    drain_batches(stream, stream_live.upsert_batches(f"{place}/out", "first", order=("updated_at", "id")))
-    return stream_live.read_upserted(v.spark, f"{place}/out")
+    drain_batches(stream, upserts.upsert_batches(f"{place}/out", "first", order=("updated_at", "id")))
+    return upserts.read_upserted(v.spark, f"{place}/out")
+
+
+@_query
+def compacted_upserts(v: Views) -> DataFrame:
+    """The updates in batches of their own disorder, compacted on the way; a base without its marker changes nothing."""
+    place = fresh_dir(v.spark, "topics")
+    updates = trending.trending_updates(v.bursts, v.forecasts)
+    write = upserts.upsert_batches(place, "first", order=("updated_at", "id"), compact_every=2)
+    for batch_id in range(4):
+        write(updates.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == batch_id), batch_id)
+    upserts.stored_rows(v.spark, place).limit(1).write.partitionBy("bucket").parquet(f"{place}/base/version=2")
+    return upserts.read_upserted(v.spark, place)
 
 
 @_query
@@ -455,7 +609,7 @@ def live_tables_stream(v: Views) -> DataFrame:
         v.spark.read.parquet(f"{place}/out/{name}").select(F.lit(name).alias("name"), F.col(key).alias("key"))
         for name, key in stream_live.LIVE_KEYS.items()
     ]
-    topics = stream_live.read_upserted(v.spark, f"{place}/out/trending").select(
+    topics = upserts.read_upserted(v.spark, f"{place}/out/trending").select(
         F.lit("trending").alias("name"), F.concat_ws("|", "topic_name", "platform", F.col("volume").cast("bigint")).alias("key")
     )
     return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(topics)
@@ -474,6 +628,55 @@ def insert_if_absent(v: Views) -> DataFrame:
     return sinks.read_table(v.spark, place, more.schema)
 
 
+@_query
+def prediction_ids(v: Views) -> DataFrame:
+    """Forecasts with sound, missing, blank and cut ids, as a table of UUIDs would take or refuse them."""
+    shape = F.col("predicted_volume").cast("bigint") % 4
+    own = F.col("forecast_id")
+    given = F.when(shape == 0, F.lit(" ")).when(shape == 1, F.substring(own, 1, 30)).when(shape != 2, own)
+    rows = v.forecasts.select("topic_name", "created_at", "platform", given.alias("forecast_id"))
+    return ingest.checked_ids(rows, "forecast_id")
+
+
+@_query
+def insert_pruned(v: Views) -> DataFrame:
+    """Deliveries inserted by id into a table of buckets, some without an id: first ones, repeats, and all again."""
+    place = fresh_dir(v.spark, "inserted")
+    numbered = F.when(F.col("articleId").cast("bigint") % 97 != 0, F.col("articleId"))
+    rows = v.deliveries.withColumn("articleId", numbered)
+    again = F.col("title").endswith(" again")
+    for batch in (rows.filter(~again), rows.filter(again), rows):
+        sinks.insert_if_absent(batch, place, "articleId", ["arrived_at", "title"], None, {}, buckets=16)
+    return buckets.read_buckets(v.spark, place, rows.schema).drop(buckets.BUCKET)
+
+
+@_query
+def atomic_write(v: Views) -> DataFrame:
+    """Articles and records as readers see them: after a batch, after one that stopped between its two writes, after its
+    replay, and after another replay."""
+    place = fresh_dir(v.spark, "together")
+    even = v.scored_messages.filter(F.col("articleId").cast("bigint") % 2 == 0)
+    tables = commits.analyzed_tables(v.scored_messages)
+    failing = tables["records"].rows.withColumn("record_id", F.raise_error(F.lit("stopped")).cast("string"))
+    seen = []
+
+    def look(moment: str) -> None:
+        for name, schema in (("articles", ARTICLES), ("records", BIAS_RECORDS)):
+            table = commits.read_committed(v.spark, place, name, schema)
+            seen.append((moment, name, *table.agg(F.count(F.lit(1)), F.count_distinct("article_id")).first()))
+
+    commits.write_together(place, "first", 0, commits.analyzed_tables(even), 16)
+    look("first")
+    try:
+        commits.write_together(place, "first", 1, tables | {"records": commits.Table(failing, "record_id")}, 16)
+    except PySparkException:
+        look("stopped")
+    for moment in ("replayed", "again"):
+        commits.write_together(place, "first", 1, tables, 16)
+        look(moment)
+    return v.spark.createDataFrame(seen, "moment string, name string, stored long, article_ids long")
+
+
 @_query
 def dual_write(v: Views) -> DataFrame:
     """Scored messages saved as articles and score records: a batch replayed, a second one, and one of another

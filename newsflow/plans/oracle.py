@@ -9,7 +9,7 @@ from newsflow.functions.scoring import DEFAULT_KEYWORDS
 from newsflow.functions.text import SCRIPT_SPACE
 from newsflow.plans.views import RAW_SHAPES, SECOND_KEYWORDS, THRESHOLD
 from newsflow.schemas import RAW_FIELDS
-from newsflow.sources.seed import SEED_TOPICS
+from newsflow.sources.seed import SEED_ARTICLES, SEED_TOPICS
 
 NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 
@@ -442,6 +442,27 @@ def _seeded() -> str:
     SELECT * REPLACE ({_SCORES_ROUNDED}) FROM ({_trending("all_bursts", "all_forecasts")})"""
 
 
+def _seeded_articles() -> str:
+    articles = ", ".join(
+        f"('a1000000-0000-0000-0000-{n:012d}', 'https://example.com/{slug}', '{title}', '{title}', '{topic[1]}',"
+        f" {NOW} - INTERVAL {12 - 2 * n} MINUTE, '1.0', {NOW})"
+        for n, ((slug, title), topic) in enumerate(zip(SEED_ARTICLES, SEED_TOPICS, strict=True), start=1)
+    )
+    records = ", ".join(
+        f"('b1000000-0000-0000-0000-{n:012d}', 'a1000000-0000-0000-0000-{n:012d}', {t[5]}::DOUBLE, '{t[7]}', {NOW}, false)"
+        for n, t in enumerate(SEED_TOPICS, start=1)
+    )
+    return f""",
+    all_articles AS (SELECT * FROM articles UNION ALL SELECT * FROM (VALUES {articles})),
+    all_records AS (
+        SELECT record_id, article_id, bias_score, bias_label, analysis_timestamp, error_flag FROM bias_records
+        UNION ALL SELECT * FROM (VALUES {records}))
+    SELECT a.*, r.bias_score, r.bias_label
+    FROM all_articles a LEFT JOIN (
+        SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY analysis_timestamp DESC, record_id DESC) AS rn FROM all_records
+    ) r ON r.article_id = a.article_id AND r.rn = 1"""
+
+
 def _salience() -> str:
     counts = "\nUNION ALL ".join(
         f"SELECT '{w}' AS keyword, count(*) FILTER (is_now AND contains(body, '{w}')) AS current,"
@@ -496,6 +517,47 @@ def statements() -> dict[str, str]:
         "trend_forecast": _with(("forecasts",), _rounded("forecasts", *all_forecast_columns)),
         "burst_detection_stream": _with(("bursts",), _rounded("bursts", "avg_bias_score")),
         "trend_forecast_stream": _with(("forecasts",), _rounded("forecasts", *all_forecast_columns)),
+        "trend_forecast_quiet": _with(("forecasts",), _rounded("forecasts", *all_forecast_columns)),
+        "late_rows": _with(
+            ("analyzed",),
+            """
+            SELECT topic_key, window_start, window_end, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late,
+                   count(*) AS arrived
+            FROM (
+                SELECT *, coalesce(window_end <= max("publishedAt") OVER (
+                    ORDER BY wave RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY, false) AS late
+                FROM (
+                    SELECT title || '|' || "sourceName" AS topic_key, "publishedAt",
+                           date_trunc('day', "publishedAt")::TIMESTAMP AS window_start,
+                           date_trunc('day', "publishedAt")::TIMESTAMP + INTERVAL 1 DAY AS window_end,
+                           date_diff('day', TIMESTAMP '2024-01-01', "publishedAt"
+                               + to_days(CASE WHEN "articleId"::BIGINT % 50 = 0 THEN 3 ELSE 0 END)) // 11 AS wave
+                    FROM analyzed))
+            WHERE window_end <= (SELECT max("publishedAt") - INTERVAL 1 DAY FROM analyzed)
+            GROUP BY ALL""",
+        ),
+        "expiring_windows_stream": _with(
+            ("analyzed",),
+            """
+            SELECT *, CASE WHEN volume > previous_volume * 1.05 THEN '↑' WHEN volume < previous_volume * 0.95 THEN '↓'
+                           ELSE '→' END AS trend_direction
+            FROM (
+                SELECT * EXCLUDE (before, ended), CASE WHEN window_start < ended + INTERVAL 6 HOUR THEN before END AS previous_volume
+                FROM (SELECT *, lag(volume) OVER w AS before, lag(window_end) OVER w AS ended
+                      FROM (SELECT title || '|' || "sourceName" AS topic_key, title AS topic_name, "sourceName" AS platform,
+                                   count(*) AS volume, round(avg("biasScore"), 10) AS avg_bias_score,
+                                   time_bucket(INTERVAL 6 HOUR, "publishedAt", TIMESTAMP '2024-01-01') AS window_start,
+                                   time_bucket(INTERVAL 6 HOUR, "publishedAt", TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR AS window_end
+                            FROM analyzed GROUP BY ALL)
+                      WINDOW w AS (PARTITION BY topic_key ORDER BY window_start)))""",
+        ),
+        "event_times": _with(
+            ("analyzed",),
+            """
+            SELECT "articleId", told AS "publishedAt", told IS NULL AS rejected
+            FROM (SELECT "articleId", CASE "articleId"::BIGINT % 6 WHEN 5 THEN NULL
+                      ELSE date_trunc('second', "publishedAt")::TIMESTAMP END AS told FROM analyzed)""",
+        ),
         "predictions_stream": _with(("predictions",), _rounded("predictions", *all_forecast_columns)),
         "latest_bursts": _with(
             ("bursts",), f"SELECT * REPLACE ({_SCORES_ROUNDED}) FROM ({_latest('bursts', 'detection_timestamp', 'event_id')})"
@@ -528,6 +590,7 @@ def statements() -> dict[str, str]:
             FROM trending""",
         ),
         "seeded_trending": _with(("bursts", "forecasts"), _seeded()).replace(")\n,", "),", 1),
+        "seeded_articles": _with(("articles", "bias_records"), _seeded_articles()).replace(")\n,", "),", 1),
         "predictions_union": _with(("predictions",), _rounded("predictions", *all_forecast_columns)),
         "predictions_page": _with(
             ("predictions",),
@@ -560,6 +623,10 @@ def statements() -> dict[str, str]:
             FROM forecasts""",
         ),
         "articles_latest_score": _with(("scored_articles",), "SELECT * FROM scored_articles"),
+        "articles_latest_score_stream": _with(("scored_articles",), "SELECT * FROM scored_articles"),
+        "articles_page_stream": _with(
+            ("scored_articles",), "SELECT * FROM scored_articles ORDER BY published_at DESC, article_id LIMIT 20"
+        ),
         "articles_page": _with(
             ("scored_articles",), "SELECT * FROM scored_articles ORDER BY published_at DESC, article_id LIMIT 20"
         ),
@@ -599,6 +666,13 @@ def statements() -> dict[str, str]:
             FROM (SELECT doc_id, CASE WHEN NOT contains(text, '@') THEN least(1.0::DOUBLE,
                       (length(text) - length(replace(text, 'e', '')))::DOUBLE / length(text) * 5) END AS score
                   FROM documents)""",
+        "model_score_stream": """
+            SELECT doc_id, round(score, 10) AS "biasScore",
+                   CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.5 THEN 'biased' ELSE 'neutral' END AS "biasLabel",
+                   score IS NULL AS "errorFlag"
+            FROM (SELECT doc_id, CASE WHEN NOT contains(text, '@') THEN least(1.0::DOUBLE,
+                      (length(text) - length(replace(text, 'e', '')))::DOUBLE / length(text) * 5) END AS score
+                  FROM documents)""",
         "score_range": "SELECT event_id, round(value, 10) AS value FROM events WHERE value BETWEEN 0 AND 1",
         "unwrap_payload": _with(
             ("payloads",),
@@ -661,6 +735,21 @@ def statements() -> dict[str, str]:
                        AS partitions
             FROM lags GROUP BY group_id""",
         ),
+        "lag_edges": _with(
+            ("located",),
+            """
+            SELECT group_id, topic, part AS "partition",
+                   CASE part WHEN 2 THEN 0 WHEN 1 THEN count(*) + 1 ELSE greatest(count(*) - count(*) FILTER (ts <= read_up_to), 0) END AS lag
+            FROM located, (VALUES ('live', TIMESTAMP '2024-01-30 12:00:00'), ('nightly', TIMESTAMP '2024-01-25 00:00:00'))
+                AS groups(group_id, read_up_to)
+            GROUP BY group_id, topic, part""",
+        ),
+        "lag_history": """
+            SELECT wave AS batch_id, 'reader' AS group_id, 'source-0' AS topic, 0 AS partition, wave AS committed,
+                   count(*) AS input_rows, 0::BIGINT AS total_lag
+            FROM (SELECT date_diff('day', TIMESTAMP '2024-01-01', ts + to_days(CASE WHEN event_id % 50 = 0 THEN 3 ELSE 0 END)) // 11 AS wave
+                  FROM events)
+            GROUP BY wave""",
         "tag_messages": _with(("tagged",), "SELECT message_id, topic, type FROM tagged"),
         "normalize_trending": _with(
             ("received",),
@@ -704,6 +793,17 @@ def statements() -> dict[str, str]:
                 SELECT *, row_number() OVER (PARTITION BY "articleId" ORDER BY arrived_at, title) AS rn FROM deliveries
             ) WHERE rn = 1""",
         ),
+        "dedup_within_stream": _with(
+            ("deliveries",),
+            """SELECT * REPLACE (round("biasScore", 10) AS "biasScore") FROM deliveries WHERE title NOT LIKE '% again'""",
+        ),
+        "capped_topics": """
+            SELECT topic_name, platform, updated_at, id FROM (
+                SELECT event_type AS topic_name, 'u' || (user_id % 300)::VARCHAR AS platform, ts AS updated_at, event_id AS id,
+                       min((ts, event_id)) OVER k AS first_seen,
+                       row_number() OVER (PARTITION BY event_type, user_id % 300 ORDER BY ts DESC, event_id DESC) AS rn
+                FROM events WINDOW k AS (PARTITION BY event_type, user_id % 300))
+            WHERE rn = 1 ORDER BY first_seen DESC LIMIT 100""",
         "upsert_latest": _with(
             ("upserted",),
             f"""
@@ -714,6 +814,10 @@ def statements() -> dict[str, str]:
             ("upserted",),
             f"SELECT * EXCLUDE (first_seen, rn) REPLACE ({_SCORES_ROUNDED}) FROM upserted WHERE rn = 1",
         ),
+        "compacted_upserts": _with(
+            ("upserted",),
+            f"SELECT * EXCLUDE (first_seen, rn) REPLACE ({_SCORES_ROUNDED}) FROM upserted WHERE rn = 1",
+        ),
         "live_tables_stream": _with(
             ("tagged",),
             f"""
@@ -736,6 +840,31 @@ def statements() -> dict[str, str]:
             ("more_bursts",),
             f"SELECT * REPLACE ({_SCORES_ROUNDED}) FROM more_bursts",
         ),
+        "prediction_ids": _with(
+            ("forecasts",),
+            """
+            SELECT topic_name, created_at, platform, forecast_id,
+                   CASE shape WHEN 0 THEN 'forecast_id is missing' WHEN 1 THEN 'forecast_id is no UUID' WHEN 2 THEN 'forecast_id is missing' END
+                       AS error_reason
+            FROM (SELECT * REPLACE (CASE shape WHEN 0 THEN ' ' WHEN 1 THEN substr(forecast_id, 1, 30) WHEN 3 THEN forecast_id END AS forecast_id)
+                  FROM (SELECT *, predicted_volume::BIGINT % 4 AS shape FROM forecasts))""",
+        ),
+        "insert_pruned": _with(
+            ("deliveries",),
+            """
+            SELECT * EXCLUDE (rn) REPLACE (round("biasScore", 10) AS "biasScore") FROM (
+                SELECT *, row_number() OVER (PARTITION BY "articleId" ORDER BY arrived_at, title) AS rn
+                FROM (SELECT * REPLACE (CASE WHEN "articleId"::BIGINT % 97 <> 0 THEN "articleId" END AS "articleId")
+                      FROM deliveries WHERE title NOT LIKE '% again')
+            ) WHERE rn = 1""",
+        ),
+        "atomic_write": """
+            WITH n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS even FROM documents)
+            SELECT moment, name,
+                   CASE WHEN moment IN ('first', 'stopped') THEN even WHEN name = 'articles' THEN n ELSE n + even END AS stored,
+                   CASE WHEN moment IN ('first', 'stopped') THEN even ELSE n END AS article_ids
+            FROM n, (SELECT unnest(['first', 'stopped', 'replayed', 'again']) AS moment),
+                 (SELECT unnest(['articles', 'records']) AS name)""",
         "dual_write": _with(
             ("articles",),
             f"""

@@ -27,6 +27,9 @@ SECOND_KEYWORDS = ("the", "and", "ing", "tion", "chein", "este", "ent", "que", "
 # Languages the first scoring run covers; other documents have a record only if they are labelled.
 SCORED_LANGUAGES = ("en", "fr", "de")
 
+# Arrival of events in waves: those with an id divisible by LATE_EVERY come LATE_DAYS late.
+WAVE_DAYS, LATE_DAYS, LATE_EVERY = 11, 3, 50
+
 # Number of message shapes made from the documents, one per value of doc_id modulo the count.
 RAW_SHAPES, PAYLOAD_SHAPES, MESSAGE_SHAPES = 13, 8, 6
 
@@ -95,6 +98,16 @@ class Views:
         )
         return analyzed_of(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
+    @cached_property
+    def waves(self) -> list[DataFrame]:
+        """The events as they arrive, a wave for each eleven days; some come three days late."""
+        late = F.when(F.col("event_id") % LATE_EVERY == 0, F.lit(LATE_DAYS)).otherwise(F.lit(0))
+        day = F.datediff(F.col("ts") + F.make_dt_interval(days=late), F.lit("2024-01-01").cast("date"))
+        events = self.table("events").withColumn("_wave", F.floor(day / WAVE_DAYS))
+        last = events.select(F.max("_wave")).scalar()
+        number = events.select(last).first()[0]
+        return [events.filter(F.col("_wave") == w).drop("_wave") for w in range(number + 1)]
+
     @property
     def end_clock(self) -> DataFrame:
         """One time two days past the last event, as a stream: the end of this bounded input."""

@@ -15,6 +15,7 @@ from newsflow.operators.ingest import accepted, rejected
 from newsflow.operators.latest import first_by
 from newsflow.operators.windows import to_bursts, to_forecasts
 from newsflow.schemas import ARTICLES, BIAS_RECORDS, UNKNOWN_PLATFORM
+from newsflow.sources.buckets import insert_pruned
 
 PREDICTION_DEFAULTS = {"platform": UNKNOWN_PLATFORM, "trend_direction": FLAT}
 
@@ -61,14 +62,19 @@ def insert_if_absent(
     arrival: Sequence[str | Column],
     day_of: str | None = None,
     defaults: Mapping[str, str] = PREDICTION_DEFAULTS,
+    buckets: int | None = None,
 ) -> None:
     """Append the batch's unknown keys to a parquet table.
 
-    With ``day_of``, a time column fixed by the key (a window bound), the table is partitioned by its day and
+    With ``buckets``, the table is stored by a hash of the key and only the batch's own buckets are read back for the
+    key test. With ``day_of``, a time column fixed by the key (a window bound), the table is partitioned by its day and
     only the batch's own span of days is read back for the key test. The rows are rebalanced by day before the
     write: small days share a file writer, a large day is split, and no task opens every day.
     """
     spark = batch.sparkSession
+    if buckets is not None:
+        insert_pruned(batch, path, key, lambda rows, known: absent_rows(rows, known, key, arrival, defaults), buckets)
+        return
     if day_of is None:
         known = read_table(spark, path, batch.schema)
         absent_rows(batch, known, key, arrival, defaults).write.mode("append").parquet(path)
@@ -101,12 +107,17 @@ def append_batch(batch: DataFrame, path: str, run: str, batch_id: int) -> None:
 
 
 def insert_batches(
-    path: str, key: str, arrival: Sequence[str], day_of: str | None = None, defaults: Mapping[str, str] = PREDICTION_DEFAULTS
+    path: str,
+    key: str,
+    arrival: Sequence[str],
+    day_of: str | None = None,
+    defaults: Mapping[str, str] = PREDICTION_DEFAULTS,
+    buckets: int | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function around ``insert_if_absent``."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        insert_if_absent(batch, path, key, arrival, day_of, defaults)
+        insert_if_absent(batch, path, key, arrival, day_of, defaults, buckets)
 
     return write
 

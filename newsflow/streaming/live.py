@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from newsflow.operators.ingest import drop_malformed
 from newsflow.operators.live import normalize_trending, route_messages, routed, tag_messages
 from newsflow.schemas import ARTICLE, BURST, FORECAST, TRENDING
-from newsflow.sources.sinks import append_batch, insert_if_absent
+from newsflow.sources.sinks import insert_if_absent
+from newsflow.sources.upserts import read_upserted, upsert_batches
 
 
 def dedup_stream(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -18,44 +19,6 @@ def dedup_stream(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batches(
-    path: str, run: str, keys: Sequence[str] = ("topic_name", "platform"), order: Sequence[str] = ("updated_at",)
-) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: append each batch reduced to its first appearance and last row per key.
-
-    A batch writes its own rows only, never the whole table; ``read_upserted`` merges on reading. A replayed
-    batch replaces its rows. ``run`` names the checkpoint, as in ``append_batch``.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        first = F.min(F.struct(*order)).alias("first_seen")
-        last = F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("last_row")
-        reduced = batch.groupBy(*keys).agg(first, last)
-        append_batch(reduced.withColumn("written_at", F.current_timestamp()), path, run, batch_id)
-
-    return write
-
-
-def read_upserted(
-    spark: SparkSession,
-    path: str,
-    keys: Sequence[str] = ("topic_name", "platform"),
-    cap: int | None = None,
-) -> DataFrame:
-    """The current row per key from the batches written so far, by all runs; later batches win over earlier ones.
-
-    With ``cap``, the keys that appeared most recently.
-    """
-    logged = spark.read.parquet(path)
-    written = ("written_at", "batch_id", "run")
-    merged = logged.groupBy(*keys).agg(
-        F.max_by("last_row", F.struct(*written)).alias("_row"), F.min(F.struct(*written, "first_seen")).alias("_first")
-    )
-    if cap is not None:
-        merged = merged.orderBy(F.col("_first").desc(), *keys).limit(cap)
-    return merged.select("_row.*")
-
-
 def _texts(document: str, *names: str) -> list[Column]:
     return [F.try_variant_get(document, f"$.{name}", "string").alias(name) for name in names]
 
@@ -105,6 +68,7 @@ def live_tables(batch: DataFrame, now: Column, arrival: Sequence[str]) -> dict[s
 
 # Key per live table; trending rows are upserted, the others inserted if absent.
 LIVE_KEYS = {"articles": "articleId", "bursts": "eventId", "forecasts": "forecastId"}
+LIVE_BUCKETS = 16
 
 
 def save_live(path: str, run: str, now: Column, arrival: Sequence[str]) -> Callable[[DataFrame, int], None]:
@@ -119,9 +83,22 @@ def save_live(path: str, run: str, now: Column, arrival: Sequence[str]) -> Calla
         try:
             tables = live_tables(batch, now, arrival)
             for name, key in LIVE_KEYS.items():
-                insert_if_absent(tables[name], f"{path}/{name}", key, arrival, None, {})
+                insert_if_absent(tables[name], f"{path}/{name}", key, arrival, None, {}, buckets=LIVE_BUCKETS)
             upsert(tables["trending"], batch_id)
         finally:
             batch.unpersist()
 
     return write
+
+
+def save_latest_scores(
+    path: str, run: str, buckets: int = 64, compact_every: int | None = None
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function for score records: the latest one of each article in the batch, merged on reading."""
+    return upsert_batches(path, run, ["article_id"], ["analysis_timestamp", "record_id"], buckets, compact_every)
+
+
+def read_latest_scores(spark: SparkSession, path: str, among: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """Streaming twin of ``operators.latest.latest_scores``; of the few articles ``among`` alone if these are given."""
+    rows = read_upserted(spark, path, ["article_id"], among=among, buckets=buckets)
+    return rows.select("article_id", "bias_score", "bias_label")

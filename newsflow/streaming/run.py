@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 
@@ -36,3 +38,37 @@ def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
         .start()
     )
     query.awaitTermination()
+
+
+def drain_quiet(stream: DataFrame, path: str, quiet_ms: int, checkpoint: str | None = None, every_ms: int = 500) -> DataFrame:
+    """Write every row to parquet that a stream with timers of processing time emits over what its source holds now.
+
+    Such a query never ends by itself. It is stopped after a batch without input that began more than ``quiet_ms`` past
+    the end of the last batch with input: by then every timer set there has fired.
+    """
+    spark = stream.sparkSession
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", fresh_dir(spark, "progress") if checkpoint is None else checkpoint)
+        .outputMode("append")
+        .trigger(processingTime=f"{every_ms} milliseconds")
+        .start()
+    )
+    fed, seen = None, -1
+    try:
+        while query.isActive:
+            for report in query.recentProgress:
+                if report.batchId <= seen:
+                    continue
+                seen, began = report.batchId, datetime.fromisoformat(report.timestamp).timestamp() * 1000
+                if report.numInputRows or fed is None:
+                    fed = began + report.batchDuration
+                elif began > fed + quiet_ms:
+                    query.stop()
+            time.sleep(every_ms / 5000)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.schema(stream.schema).parquet(path)

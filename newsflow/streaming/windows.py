@@ -1,17 +1,24 @@
-"""Streaming counts, bursts and forecasts.
+"""Streaming counts, bursts and forecasts, with late rows as data.
 
-The stream aggregates to one row per closed window and key first; only those rows reach the keyed processor,
-which holds one number per key.
+Raw rows are first combined within each Arrow batch, by window, title and source, so that a hot topic reaches its key's task
+as a few rows of a batch. One stateful processor then keeps the open windows of each key and closes them by timers:
+
+* ``directed_windows`` closes by event time. A timer stands at the end of every open window and fires when the watermark has
+  passed it. On a quiet stream the watermark stands still, unless a ``clock`` stream moves it.
+* ``quiet_windows`` closes by processing time. A key that has been quiet for ``quiet_ms`` closes all its windows, and before
+  that its own newest event closes those that ended ``delay`` before, so no clock is needed and no other key's times matter.
+
+Rows whose window is closed already are not dropped: ``arrivals`` gives them, with ``kind`` = late, beside the windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from newsflow.functions.bands import direction
@@ -23,133 +30,281 @@ from newsflow.operators.windows import (
     to_bursts,
     to_forecasts,
     topic_of,
-    window_length,
 )
 from newsflow.schemas import UNKNOWN_PLATFORM
 from newsflow.sources.session import use_rocksdb
 
-_COUNTED = T.StructType(
-    [
-        T.StructField("topic_key", T.StringType()),
-        T.StructField("platform", T.StringType()),
-        T.StructField("volume", T.LongType()),
-        T.StructField("avg_bias_score", T.DoubleType()),
-        T.StructField("window_start", T.TimestampType()),
-        T.StructField("window_end", T.TimestampType()),
-        T.StructField("previous_volume", T.LongType()),
-    ]
+WINDOW, LATE = "window", "late"
+_PARTS = "window_start long, title string, sourceName string, named string, volume long, scored long, score_sum double, seen long"
+_OUT = (
+    "kind string, topic_key string, platform string, volume long, avg_bias_score double, "
+    "start_ms long, end_ms long, previous_volume long"
 )
+# Volume, scored rows, sum of scores, time of the last named source, its name.
+Tally = tuple[int, int, float, int | None, str | None]
+_TALLY = "volume long, scored long, score_sum double, seen long, platform string"
 
 
-def stream_counts(
-    analyzed: DataFrame,
-    window_ms: int = DEFAULT_WINDOW_MS,
-    delay: str = "0 seconds",
-    ts: str = "publishedAt",
-    clock: DataFrame | None = None,
-) -> DataFrame:
-    """Closed windows per composite key. Rows older than the watermark are dropped and counted by Spark.
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window, title and source of each Arrow batch."""
+    for batch in batches:
+        keys = ["window_start", "title", "sourceName", "named"]
+        # Rows of a clock carry no message; rows without a time belong to no window.
+        told = pa.Table.from_batches([batch.filter(pc.and_(batch.column("_message"), pc.is_valid(batch.column("window_start"))))])
+        sums = told.group_by(keys).aggregate([([], "count_all"), ("biasScore", "count"), ("biasScore", "sum"), ("seen", "max")])
+        named = sums.select([*keys, "count_all", "biasScore_count", "biasScore_sum", "seen_max"])
+        yield from named.rename_columns([*keys, "volume", "scored", "score_sum", "seen"]).combine_chunks().to_batches()
 
-    A window closes when a later time arrives. ``clock``, a stream whose column ``ts`` tells the time, closes the last
-    windows of a quiet or bounded stream; its rows are counted nowhere. It must not run ahead of messages to come:
-    for a bounded input it is one row past the end, for a live one the present time less the usual delay.
-    """
-    named = named_source(F.col("sourceName"))
-    rows = analyzed.select("title", "sourceName", "biasScore", ts, F.lit(1).alias("_message"))
+
+def _partial_counts(analyzed: DataFrame, window_ms: int, delay: str | None, ts: str, clock: DataFrame | None) -> DataFrame:
+    rows = analyzed.select("title", "sourceName", "biasScore", ts, F.lit(True).alias("_message"))
     if clock is not None:
         rows = rows.unionByName(clock.select(ts), allowMissingColumns=True)
-    # Clock rows are left out after the aggregate; a filter before it would be pushed below the watermark.
-    return (
-        rows.withWatermark(ts, delay)
-        .withColumn("topic_key", composite_key(F.col("title"), F.col("sourceName")))
-        .groupBy(F.window(ts, window_length(window_ms)).alias("span"), "topic_key")
-        .agg(
-            F.count("_message").alias("volume"),
-            F.avg("biasScore").alias("avg_bias_score"),
-            F.coalesce(
-                F.max_by(named, F.when(named.isNotNull(), F.struct(F.col(ts), F.col("sourceName")))),
-                F.lit(UNKNOWN_PLATFORM),
-            ).alias("platform"),
-        )
-        .filter("volume > 0")
-        .select(
-            "topic_key",
-            "platform",
-            "volume",
-            "avg_bias_score",
-            F.col("span.start").alias("window_start"),
-            F.col("span.end").alias("window_end"),
-        )
-    )
+    if delay is not None:
+        rows = rows.withWatermark(ts, delay)
+    length = max(1, window_ms // 1000) * 1000
+    start = F.unix_millis(F.col(ts).cast("timestamp"))
+    parts = rows.select(
+        (start - F.pmod(start, F.lit(length))).alias("window_start"),
+        "title",
+        "sourceName",
+        named_source(F.col("sourceName")).alias("named"),
+        F.col("biasScore").cast("double").alias("biasScore"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("seen"),
+        F.coalesce("_message", F.lit(False)).alias("_message"),
+    ).mapInArrow(_combined, _PARTS)
+    return parts.withColumn("topic_key", composite_key(F.col("title"), F.col("sourceName")))
+
+
+def _tally(row: Row) -> Tally:
+    seen = row.seen if row.named is not None else None
+    return row.volume, row.scored, row.score_sum or 0.0, seen, row.named
+
 
+def _plus(one: Tally, other: Tally) -> Tally:
+    last = max((t[3:] for t in (one, other) if t[3] is not None), default=(None, None))
+    return one[0] + other[0], one[1] + other[1], one[2] + other[2], *last
 
-class PreviousVolume(StatefulProcessor):
-    """Remembers the volume of the last window per key and hands it to the next one."""
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
+class _Windows(StatefulProcessor):
+    """The open windows of one key, and start and volume of the last closed one."""
+
+    def __init__(self, window_ms: int, ttl_ms: int | None = None) -> None:
+        self._length = max(1, window_ms // 1000) * 1000
         self._ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        layout = T.StructType([T.StructField("volume", T.LongType())])
-        self._last = handle.getValueState("last_volume", layout, self._ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One row per closed window of this key in this batch, so the group is small.
-        windows = pd.concat(list(rows), ignore_index=True).sort_values("window_start", ignore_index=True)
-        before = int(self._last.get()[0]) if self._last.exists() else None
-        volumes = windows["volume"].astype("int64").tolist()
-        windows["previous_volume"] = pd.array([before, *volumes[:-1]], dtype="Int64")
-        self._last.update((volumes[-1],))
-        yield windows[_COUNTED.names]
+        self._handle = handle
+        self._open = handle.getMapState("open", "start long", _TALLY)
+        self._last = handle.getValueState("last", "start long, volume long")
 
     def close(self) -> None:
         pass
 
+    def _row(self, kind: str, key: str, start: int, tally: Tally, previous: int | None) -> Row:
+        volume, scored, total, _, platform = tally
+        mean = total / scored if scored else None
+        shown = UNKNOWN_PLATFORM if platform is None else platform
+        return Row(
+            kind=kind, topic_key=key, platform=shown, volume=volume, avg_bias_score=mean,
+            start_ms=start, end_ms=start + self._length, previous_volume=previous,
+        )
 
-def stream_directed(counts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming twin of ``operators.windows.with_direction``. State is kept for ever unless ``ttl_ms`` is set.
+    def _take(self, key: str, rows: Iterable[Row], edge: int) -> tuple[list[int], list[Row]]:
+        """Add rows to their windows; the starts of these, and the rows for windows that are closed or end by ``edge``."""
+        last = self._last.get()
+        added: dict[int, Tally] = {}
+        late: dict[int, Tally] = {}
+        for row in rows:
+            start = row.window_start
+            closed = start + self._length <= edge or (last is not None and start <= last[0])
+            into = late if closed else added
+            into[start] = _plus(into[start], _tally(row)) if start in into else _tally(row)
+        for start, tally in added.items():
+            known = self._open.getValue((start,))
+            self._open.updateValue((start,), tally if known is None else _plus(tuple(known), tally))
+        return list(added), [self._row(LATE, key, start, late[start], None) for start in sorted(late)]
 
-    A query with expiring state runs batches without end, so give it a processing-time trigger: under
-    ``availableNow`` it would never finish.
-    """
-    use_rocksdb(counts.sparkSession)
+    def _shut(self, key: str, start: int) -> Iterator[Row]:
+        """Close the window that begins at ``start``, if it is open. Windows of a key must be closed oldest first."""
+        known = self._open.getValue((start,))
+        if known is None:
+            return
+        tally = tuple(known)
+        last = self._last.get()
+        if last is not None and self._ttl_ms is not None and start >= last[0] + self._length + self._ttl_ms:
+            last = None
+        self._last.update((start, tally[0]))
+        self._open.removeKey((start,))
+        yield self._row(WINDOW, key, start, tally, None if last is None else last[1])
+
+    def _shut_all(self, key: str, until: int | None) -> Iterator[Row]:
+        """Close the windows that end by ``until`` (null: all)."""
+        for start in sorted(k[0] for k in self._open.keys()):
+            if until is None or start + self._length <= until:
+                yield from self._shut(key, start)
+
+
+def _key(key: object) -> str:
+    return key[0] if isinstance(key, tuple) else key
+
+
+class ByWatermark(_Windows):
+    """A timer at the end of every open window. With ``ttl_ms`` a window that begins so long after the end of its key's last
+    one has no window before it, and a timer clears the state of keys that are silent for so long."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        added, late = self._take(_key(key), rows, timerValues.getCurrentWatermarkInMs())
+        for start in added:
+            self._handle.registerTimer(start + self._length)
+        yield from late
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # Timers fire in the order of their times.
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        yield from self._shut(_key(key), now - self._length)
+        last = self._last.get() if self._ttl_ms is not None else None
+        if last is not None:
+            end = last[0] + self._length + self._ttl_ms
+            if end > now:
+                self._handle.registerTimer(end)
+            else:
+                self._last.clear()
+
+
+class ByQuiet(_Windows):
+    """One timer for each key, ``quiet_ms`` past the processing time of its last rows."""
+
+    def __init__(self, window_ms: int, quiet_ms: int, delay_ms: int) -> None:
+        super().__init__(window_ms)
+        self._quiet_ms, self._delay_ms = quiet_ms, delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._seen = handle.getValueState("seen", "newest long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)  # a few for each Arrow batch of the input
+        newest, timer = self._seen.get() or (None, None)
+        edge = 0 if newest is None else newest - self._delay_ms
+        _, late = self._take(_key(key), rows, edge)
+        yield from late
+        if timer is not None:
+            self._handle.deleteTimer(timer)
+        newest = max([r.seen // 1000 for r in rows] + ([] if newest is None else [newest]))
+        timer = timerValues.getCurrentProcessingTimeInMs() + self._quiet_ms
+        self._handle.registerTimer(timer)
+        self._seen.update((newest, timer))
+        yield from self._shut_all(_key(key), newest - self._delay_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        newest, _ = self._seen.get()
+        self._seen.update((newest, None))
+        yield from self._shut_all(_key(key), None)
+
+
+def _arrivals(parts: DataFrame, keeper: _Windows, time_mode: str, name: str) -> DataFrame:
+    use_rocksdb(parts.sparkSession)
+    kept = parts.groupBy("topic_key").transformWithState(keeper, _OUT, "Append", time_mode)
+    bounds = {"window_start": F.timestamp_millis("start_ms"), "window_end": F.timestamp_millis("end_ms")}
     return (
-        counts.groupBy("topic_key")
-        .transformWithStateInPandas(
-            PreviousVolume(ttl_ms), _COUNTED, "Append", "None" if ttl_ms is None else "ProcessingTime"
-        )
+        kept.withColumns(bounds)
+        .drop("start_ms", "end_ms")
         .withColumn("topic_name", topic_of(F.col("topic_key")))
-        .withColumn("trend_direction", direction(F.col("volume"), F.col("previous_volume")))
+        .withColumn("trend_direction", F.when(F.col("kind") == WINDOW, direction(F.col("volume"), F.col("previous_volume"))))
+        .observe(
+            name,
+            F.coalesce(F.sum(F.when(F.col("kind") == WINDOW, F.col("volume"))), F.lit(0)).alias("on_time"),
+            F.coalesce(F.sum(F.when(F.col("kind") == LATE, F.col("volume"))), F.lit(0)).alias("late"),
+        )
     )
 
 
+def arrivals(
+    analyzed: DataFrame,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    *,
+    delay: str,
+    ttl_ms: int | None = None,
+    ts: str = "publishedAt",
+    clock: DataFrame | None = None,
+) -> DataFrame:
+    """Closed windows (``kind`` = window) and what came too late for them (late: rows per key and window of a batch).
+
+    A row is late if its window ends by the watermark, which lies ``delay`` behind the newest time of the batches before.
+    Totals of both are observed under the name ``arrivals`` in every progress report. ``clock``, a stream whose column ``ts``
+    tells the time, moves the watermark of a quiet or bounded stream; its rows are counted nowhere. It must not run ahead of
+    messages to come: for a bounded input it is one row past the end, for a live one the present time less the usual delay.
+    """
+    parts = _partial_counts(analyzed, window_ms, delay, ts, clock)
+    return _arrivals(parts, ByWatermark(window_ms, ttl_ms), "EventTime", "arrivals")
+
+
+def quiet_arrivals(
+    analyzed: DataFrame,
+    window_ms: int = DEFAULT_WINDOW_MS,
+    *,
+    quiet_ms: int,
+    delay_ms: int,
+    ts: str = "publishedAt",
+) -> DataFrame:
+    """Like ``arrivals``, but windows close by themselves: ``quiet_ms`` after the last rows of their key.
+
+    A row is late if its window ends ``delay_ms`` or more before the newest time that its key had in earlier batches, or if
+    the key has closed it in a quiet spell. Such a query runs batches without end; give it a processing-time trigger, and
+    ``streaming.run.drain_quiet`` for a bounded input.
+    """
+    parts = _partial_counts(analyzed, window_ms, None, ts, None)
+    return _arrivals(parts, ByQuiet(window_ms, quiet_ms, delay_ms), "ProcessingTime", "arrivals")
+
+
+def on_time(arrived: DataFrame) -> DataFrame:
+    """The closed windows, as ``operators.windows.with_direction`` has them."""
+    return arrived.filter(F.col("kind") == WINDOW).drop("kind")
+
+
+def too_late(arrived: DataFrame) -> DataFrame:
+    """What came too late: key, window and number of rows."""
+    return arrived.filter(F.col("kind") == LATE).select("topic_key", "topic_name", "window_start", "window_end", "volume")
+
+
 def directed_windows(
     analyzed: DataFrame,
     window_ms: int = DEFAULT_WINDOW_MS,
-    delay: str = "0 seconds",
+    *,
+    delay: str,
     ttl_ms: int | None = None,
     ts: str = "publishedAt",
     clock: DataFrame | None = None,
 ) -> DataFrame:
-    """The one aggregate that feeds bursts and forecasts alike."""
-    return stream_directed(stream_counts(analyzed, window_ms, delay, ts, clock), ttl_ms)
+    """The one aggregate that feeds bursts and forecasts alike, closed by event time."""
+    return on_time(arrivals(analyzed, window_ms, delay=delay, ttl_ms=ttl_ms, ts=ts, clock=clock))
+
+
+def quiet_windows(
+    analyzed: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, *, quiet_ms: int, delay_ms: int, ts: str = "publishedAt"
+) -> DataFrame:
+    """The one aggregate that feeds bursts and forecasts alike, closed by timers of processing time."""
+    return on_time(quiet_arrivals(analyzed, window_ms, quiet_ms=quiet_ms, delay_ms=delay_ms, ts=ts))
 
 
 def stream_bursts(
     analyzed: DataFrame,
     threshold: int = DEFAULT_THRESHOLD,
     window_ms: int = DEFAULT_WINDOW_MS,
-    delay: str = "0 seconds",
+    *,
+    delay: str,
     clock: DataFrame | None = None,
 ) -> DataFrame:
-    return to_bursts(directed_windows(analyzed, window_ms, delay, clock=clock), threshold)
+    return to_bursts(directed_windows(analyzed, window_ms, delay=delay, clock=clock), threshold)
 
 
 def stream_forecasts(
     analyzed: DataFrame,
     baseline: int = DEFAULT_THRESHOLD,
     window_ms: int = DEFAULT_WINDOW_MS,
-    delay: str = "0 seconds",
+    *,
+    delay: str,
     clock: DataFrame | None = None,
 ) -> DataFrame:
-    return to_forecasts(directed_windows(analyzed, window_ms, delay, clock=clock), baseline)
+    return to_forecasts(directed_windows(analyzed, window_ms, delay=delay, clock=clock), baseline)

@@ -167,6 +167,30 @@ def test_repeated_keys_give_whole_pages(rows, cut):
     assert [[r.id for r in cut(frame, "at", "id", page, 1).collect()] for page in (1, 2, 3, 4, 5)] == [["a"], ["b"], ["b"], ["c"], []]
 
 
+def test_every_row_is_on_one_page(spark):
+    """Repeated keys across page borders, equal times, and rows without a time."""
+    data = [("abc"[i % 3], None if i % 10 == 9 else _at(i // 9 * 700), i) for i in range(57)]
+    frame = spark.createDataFrame(data, "id string, at timestamp_ntz, number int")
+    for size in (1, 2, 7):
+        walked = []
+        for page in range(1, 60 // size + 2):
+            walked += pages.page_by_position(frame, "at", "id", page, size).collect()
+        assert sorted(r.number for r in walked) == list(range(57))
+        assert [(r.at, r.id) for r in walked] == [(r.at, r.id) for r in frame.orderBy(F.col("at").desc_nulls_last(), "id").collect()]
+
+
+def test_a_deep_page_reads_its_days_alone(spark, tmp_path):
+    rows = spark.range(5000).select(
+        F.format_string("%05d", "id").alias("key"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int") * 7)).alias("at")
+    )
+    rows.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    page = pages.page_by_position(table, "at", "key", 30, 100)
+    assert [r.key for r in page.collect()] == [f"{i:05d}" for i in range(2099, 1999, -1)]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(at," in plan and "LessThan(at," in plan
+
+
 def test_keyset_pages_walk_the_whole_table(dated):
     walked, last = [], None
     while True:

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -9,8 +8,16 @@ from newsflow.operators import windows
 from newsflow.operators.live import upsert_latest
 from newsflow.sources import sinks, streams
 from newsflow.streaming import live as stream_live
-from newsflow.streaming.run import drain_batches, drain_to_parquet
-from newsflow.streaming.windows import directed_windows, stream_forecasts
+from newsflow.streaming.run import drain_batches, drain_quiet, drain_to_parquet
+from newsflow.streaming.windows import (
+    arrivals,
+    directed_windows,
+    on_time,
+    quiet_arrivals,
+    quiet_windows,
+    stream_forecasts,
+    too_late,
+)
 
 MINUTE = 60_000
 START = datetime(2024, 1, 1)
@@ -47,7 +54,7 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
         _write(spark, str(tmp_path / "in"), number, data)
     whole = spark.createDataFrame([m for data in BATCHES for m in data], SCHEMA)
     last = START + timedelta(minutes=9)
-    directed = drain_to_parquet(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE), str(tmp_path / "d"))
+    directed = drain_to_parquet(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE, delay="0 seconds"), str(tmp_path / "d"))
     bursts, forecasts = windows.to_bursts(directed, 5), windows.to_forecasts(directed, 5)
     assert _settled(bursts) == _settled(windows.burst_detection(whole, 5, MINUTE).filter(F.col("window_end") <= last))
     wanted = windows.trend_forecast(whole, 5, MINUTE).filter(F.col("created_at") <= last)
@@ -60,7 +67,7 @@ def test_a_clock_closes_the_last_windows(spark, tmp_path):
     _write(spark, str(tmp_path / "in"), 0, data)
     _write(spark, str(tmp_path / "clock"), 0, [(START + timedelta(minutes=5),)], "publishedAt timestamp")
     clock = _stream(spark, str(tmp_path / "clock"), "publishedAt timestamp")
-    stream = stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE, clock=clock)
+    stream = stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE, delay="0 seconds", clock=clock)
     found = drain_to_parquet(stream, str(tmp_path / "f"))
     assert _settled(found) == _settled(windows.trend_forecast(spark.createDataFrame(data, SCHEMA), 5, MINUTE))
     assert found.count() == 2
@@ -72,11 +79,11 @@ def test_restart_continues_and_adds_nothing_twice(spark, tmp_path):
     for number, data in enumerate(BATCHES):
         _write(spark, str(tmp_path / "in"), number, data)
         if number % 2:
-            drain_batches(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE), write, checkpoint)
+            drain_batches(directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE, delay="0 seconds"), write, checkpoint)
     assert spark.read.parquet(f"{place}/forecasts").count() == 7
     # A new checkpoint replays everything; the ids are the same, so the tables stay as they are.
     replay = _stream(spark, str(tmp_path / "in"), files=100)
-    drain_batches(directed_windows(replay, MINUTE), write, str(tmp_path / "again"))
+    drain_batches(directed_windows(replay, MINUTE, delay="0 seconds"), write, str(tmp_path / "again"))
     assert spark.read.parquet(f"{place}/forecasts").count() == 7
     assert spark.read.parquet(f"{place}/bursts").count() == 4
     directions = {(r.topic_name, r.window_start): r.trend_direction for r in spark.read.parquet(f"{place}/bursts").collect()}
@@ -84,13 +91,52 @@ def test_restart_continues_and_adds_nothing_twice(spark, tmp_path):
     assert directions["t", START + timedelta(minutes=2)] == "↑"
 
 
-def test_late_rows_are_dropped_by_the_stream_only(spark, tmp_path):
+def test_late_rows_are_given_apart(spark, tmp_path):
     _write(spark, str(tmp_path / "in"), 0, _messages(0, 5) + _messages(10, 1, "end"))
-    # Lateness is judged by the watermark of the batch before, so the late row comes one batch further on.
+    # Lateness is judged by the watermark of the batch before, so the late rows come one batch further on.
     _write(spark, str(tmp_path / "in"), 1, _messages(11, 1, "end"))
-    _write(spark, str(tmp_path / "in"), 2, [("late", "t", "s", START + timedelta(seconds=30), 0.1)])
-    found = drain_to_parquet(stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE), str(tmp_path / "f"))
-    assert [r.predicted_volume for r in found.filter("topic_name = 't'").collect()] == [5.0]
+    late = [(f"late{i}", "t", "s", START + timedelta(seconds=30), 0.1) for i in range(3)]
+    _write(spark, str(tmp_path / "in"), 2, late + [("new", "t", "s", START + timedelta(minutes=12), None)])
+    _write(spark, str(tmp_path / "in"), 3, _messages(20, 1, "end"))
+    stream = arrivals(_stream(spark, str(tmp_path / "in")), MINUTE, delay="0 seconds")
+    query = (
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert [tuple(r) for r in too_late(found).select("topic_key", "window_start", "volume").collect()] == [("t|s", START, 3)]
+    windows_of_t = on_time(found).filter("topic_name = 't'").orderBy("window_start")
+    assert [(r.volume, r.previous_volume, r.avg_bias_score is None) for r in windows_of_t.collect()] == [(5, None, False), (1, 5, True)]
+    totals = [r.observedMetrics["arrivals"].asDict() for r in query.recentProgress if "arrivals" in r.observedMetrics]
+    assert sum(t["late"] for t in totals) == 3
+    assert sum(t["on_time"] for t in totals) == on_time(found).agg(F.sum("volume")).first()[0]
+
+
+def test_quiet_windows_need_no_clock(spark, tmp_path):
+    data = _messages(0, 5) + _messages(1, 9) + _messages(4, 2) + _messages(0, 3, "u", None)
+    _write(spark, str(tmp_path / "in"), 0, data)
+    directed = quiet_windows(_stream(spark, str(tmp_path / "in")), MINUTE, quiet_ms=1000, delay_ms=MINUTE)
+    found = windows.to_forecasts(drain_quiet(directed, str(tmp_path / "out"), 1000), 5)
+    assert _settled(found) == _settled(windows.trend_forecast(spark.createDataFrame(data, SCHEMA), 5, MINUTE))
+    assert found.count() == 4
+
+
+def test_quiet_windows_judge_lateness_by_key(spark, tmp_path):
+    _write(spark, str(tmp_path / "in"), 0, _messages(0, 5) + _messages(10, 1))
+    # The other key's early rows are not late; those of a closed window are.
+    _write(spark, str(tmp_path / "in"), 1, _messages(0, 4, "u") + _messages(0, 2) + _messages(10, 6))
+    stream = quiet_arrivals(_stream(spark, str(tmp_path / "in")), MINUTE, quiet_ms=60_000, delay_ms=0)
+    found = drain_quiet(stream, str(tmp_path / "out"), 1000, str(tmp_path / "check"))
+    assert {(r.topic_name, r.volume) for r in too_late(found).collect()} == {("t", 2)}
+    assert {(r.topic_name, r.volume) for r in on_time(found).collect()} == {("t", 5)}
+
+
+def test_raw_rows_meet_no_sort_aggregate(spark, tmp_path, capsys):
+    _write(spark, str(tmp_path / "in"), 0, _messages(0, 5))
+    directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE, delay="0 seconds").explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
 def test_delay_admits_late_rows(spark, tmp_path):
@@ -98,28 +144,19 @@ def test_delay_admits_late_rows(spark, tmp_path):
     _write(spark, str(tmp_path / "in"), 1, _messages(11, 1, "end"))
     _write(spark, str(tmp_path / "in"), 2, [("late", "t", "s", START + timedelta(seconds=30), 0.1)])
     _write(spark, str(tmp_path / "in"), 3, _messages(40, 1, "end"))
-    stream = stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE, "15 minutes")
+    stream = stream_forecasts(_stream(spark, str(tmp_path / "in")), 5, MINUTE, delay="15 minutes")
     found = drain_to_parquet(stream, str(tmp_path / "f"))
     assert [r.predicted_volume for r in found.filter("topic_name = 't'").collect()] == [6.0]
 
 
-def test_expiring_state_runs(spark, tmp_path):
-    _write(spark, str(tmp_path / "in"), 0, _messages(0, 5) + _messages(1, 9) + _messages(3, 1, "end"))
-    stream = directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE, ttl_ms=3_600_000)
-    # Expiry keeps the query busy for ever, so it gets a plain trigger and is stopped from outside.
-    query = (
-        stream.writeStream.format("memory").queryName("expiring").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
-    )
-    try:
-        for _ in range(60):
-            found = spark.sql("SELECT volume, previous_volume FROM expiring ORDER BY window_start").collect()
-            if len(found) == 2:
-                break
-            time.sleep(1)
-    finally:
-        query.stop()
-    assert [tuple(r) for r in found] == [(5, None), (9, 5)]
+def test_a_silent_key_is_forgotten(spark, tmp_path):
+    _write(spark, str(tmp_path / "in"), 0, _messages(0, 5) + _messages(1, 9))
+    _write(spark, str(tmp_path / "in"), 1, _messages(90, 1, "end"))
+    _write(spark, str(tmp_path / "in"), 2, _messages(100, 7))
+    _write(spark, str(tmp_path / "in"), 3, _messages(200, 1, "end"))
+    stream = directed_windows(_stream(spark, str(tmp_path / "in")), MINUTE, delay="0 seconds", ttl_ms=3_600_000)
+    found = drain_to_parquet(stream, str(tmp_path / "out")).filter("topic_name = 't'").orderBy("window_start")
+    assert [(r.volume, r.previous_volume) for r in found.collect()] == [(5, None), (9, 5), (7, None)]
 
 
 def test_first_arrival_across_batches(spark, tmp_path):

@@ -161,3 +161,13 @@ def test_a_time_far_past_the_analysis_is_not_believed(rows):
     frame = rows([(t, "2024-01-02T00:00:00Z") for t in told], "publishedAt string, analysisTimestamp string")
     found = windows.with_event_time(frame).select(F.date_format("publishedAt", "yyyy-MM-dd HH").alias("at")).collect()
     assert [r.at for r in found] == ["2024-01-02 00", "2024-01-02 12"]
+
+
+def test_a_time_that_nothing_bounds_is_not_believed(rows):
+    told = [("1", "2099-01-01T00:00:00Z", None), ("2", "2024-01-02T12:00:00Z", "no date"), ("3", "no date", None)]
+    frame = rows(told, "id string, publishedAt string, analysisTimestamp string")
+    assert sorted(r.id for r in windows.without_event_time(windows.with_event_time(frame)).collect()) == ["1", "2", "3"]
+    received = frame.withColumn("at", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    timed = windows.with_event_time(received, received="at")
+    found = {r.id: r.publishedAt for r in timed.withColumn("publishedAt", F.date_format("publishedAt", "dd HH")).collect()}
+    assert found == {"1": "02 00", "2": "02 12", "3": "02 00"} and windows.without_event_time(timed).count() == 0
