@@ -28,29 +28,22 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import LOWER, UPPER, staged
+from newsflow.llm.common import staged
 from newsflow.llm.importance import slices
-from newsflow.sources.session import fresh_dir
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
-SHARDS, CELLS = 4, 1 << 22
+SHARDS, CELLS = 2, 1 << 22
 SLICE = 8 << 20
 NEVER = 255
-ENDS, NO_LANG = ".,;:!?\n\x0b\x0c\r", "und"
+ENDS, NO_LANG = r"[.,;:!?\x0A-\x0D]", "und"
 COUNTS = "lang string, n int, phrase string, started int, occurrences long"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normalised(text: Column) -> Column:
-    """Lower-cased A-Z, a line feed at the end of every piece, blanks between words."""
-    ends, blanks = "\n" * len(ENDS), " "
-    return F.translate(text, UPPER + ENDS + "\t", LOWER + ends + blanks)
-
-
 def mixed(numbers: np.ndarray) -> np.ndarray:
     numbers = (numbers ^ (numbers >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return numbers ^ (numbers >> np.uint64(27))
@@ -89,7 +82,7 @@ def phrase_counts(
     texts: pa.Array, langs: pa.Array, step: int, shards: int, since: list[np.ndarray]
 ) -> Iterator[pa.RecordBatch]:
     """Rows of ``COUNTS`` for the phrases that are being counted at this step."""
-    lists = pc.split_pattern(texts, "\n")
+    lists = pc.split_pattern_regex(pc.replace_substring(pc.ascii_lower(texts), "\t", " "), ENDS)
     every, text_of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     for at, pieces in slices(every, SLICE):
         split = pc.split_pattern(pieces, " ")
@@ -187,14 +180,11 @@ def frequent_phrases(
     if shards * longest >= NEVER or cells % 64:
         raise ValueError(f"shards times longest must be below {NEVER}, cells a multiple of 64")
     spark = docs.sparkSession
-    place = fresh_dir(spark, "phrases")
-    dealt = docs.select(
-        normalised("text").alias("text"),
+    dealt = docs.filter("text is not null").select(
+        "text",
         F.coalesce("lang", F.lit(NO_LANG)).alias("lang"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"),
-    ).filter("text is not null")
-    dealt.write.partitionBy("shard").parquet(place)
-    shard_rows = spark.read.schema(dealt.schema).parquet(place)
+        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"),
+    )
 
     since = [np.full(cells, NEVER, dtype=np.uint8) for _ in range(longest - 1)]
     open_counts, done, newest = None, [], 0
@@ -207,7 +197,7 @@ def frequent_phrases(
             for batch in batches:
                 yield from phrase_counts(batch.column(0), batch.column(1), step, shards, tables.value)
 
-        found = shard_rows.filter(F.col("shard") == step % shards).select("text", "lang").mapInArrow(count, COUNTS)
+        found = dealt.filter(F.col("shard") == step % shards).select("text", "lang").mapInArrow(count, COUNTS)
         found = found.withColumn("before", F.lit(0).cast("long"))
         if open_counts is not None:
             found = found.unionByName(open_counts.withColumn("before", F.col("occurrences")))
