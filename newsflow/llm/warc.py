@@ -14,7 +14,9 @@ as many rounds as the logarithm of a file's records. All others are text inside
 Archives are gzip files of at most ``FILE_RECORDS`` records, each read by one task as a stream; a task holds the runs of
 bytes of open candidates' payloads only as long as they may still end.
 
-A null html is an empty payload; a null page_id or url is left out of the header and read back as null. Equal pages
+A null html is an empty payload; a null url is left out of the header, a page without an id is named by its digest, and both
+are read back as null, as is the page_id of a record with a foreign id, whose own is in ``record_id``. Headers that are no
+headers, or that hold no numbers where numbers belong, end no job. An empty table gives archives without records. Equal pages
 (ids repeated) give several records; the smallest id's are then all responses. Line breaks in a url are escaped.
 """
 
@@ -37,8 +39,10 @@ RECORD_END = "\r\n\r\n"
 LEAST_BYTES = 0
 FILE_RECORDS = 20_000
 HEX_TO_BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+PAGE = "<urn:page:"
 CANDIDATES = (
-    "file string, at long, next long, record_type string, page_id string, refers_to string, url string, "
+    "file string, at long, next long, record_type string, record_id string, page_id string, refers_to string, url string, "
     "payload_bytes long, payload_digest string, payload binary"
 )
 
@@ -72,15 +76,21 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return joined.withColumn("first_id", F.when(revisits, F.col("smallest"))).drop("smallest", "copies")
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """One record per row into gzip archives below ``path``."""
+def write_archives(records: DataFrame, path: str, date: Column | None = None) -> None:
+    """One record per row into gzip archives below ``path``. ``date`` is a timestamp, by default the time of writing."""
     revisit = F.col("first_id").isNotNull()
+    written = F.current_timestamp() if date is None else date
+    own_id = F.concat(F.lit(PAGE), F.col("page_id").cast("string"), F.lit(">"))
+    # A page without an id is named by its content; the header must not lack a record id.
+    named = F.coalesce(own_id, F.concat(F.lit("<urn:sha1:"), F.col("payload_digest"), F.lit(">")))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     record = F.concat(
         F.lit(MAGIC),
         _header("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _header("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
-        _header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">"))),
+        _header("WARC-Record-ID", named),
+        _header("WARC-Date", F.date_format(F.to_utc_timestamp(written, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _header("WARC-Refers-To", F.concat(F.lit(PAGE), F.col("first_id").cast("string"), F.lit(">"))),
+        _header("WARC-Profile", F.when(revisit, F.lit(IDENTICAL))),
         _header("WARC-Target-URI", url),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _header("X-Payload-Length", F.col("payload_bytes")),
@@ -92,6 +102,11 @@ def write_archives(records: DataFrame, path: str) -> None:
     writer.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _count(text: str) -> int:
+    """A number of bytes; -1 for other text."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else -1
+
+
 class Candidate:
     """A start line with a header; collects its payload from the stream until the content length is reached."""
 
@@ -102,8 +117,7 @@ class Candidate:
             if colon:
                 self.fields[name.decode("utf-8", "replace").lower()] = value.decode("utf-8", "replace")
         self.file, self.at = file, at
-        length = self.fields.get("content-length", "")
-        self.length = int(length) if length.isascii() and length.isdigit() and len(length) < 19 else -1
+        self.length = _count(self.fields.get("content-length", ""))
         self.next = body_at + self.length + len(RECORD_END)
         self.digest, self.left = hashlib.sha1(), self.length
         self.body: list[bytes] = []
@@ -116,16 +130,18 @@ class Candidate:
         self.left -= len(part)
 
     def row(self) -> tuple:
-        def urn(name: str) -> str | None:
-            value = self.fields.get(name)
-            return value[len("<urn:page:") : -1] if value else None
+        """The candidate as a row. Its header may be any text of a page, so nothing in it is taken to be well formed."""
+
+        def page(name: str) -> str | None:
+            value = self.fields.get(name, "")
+            return value[len(PAGE) : -1] if value.startswith(PAGE) and value.endswith(">") else None
 
         digest = base64.b32encode(self.digest.digest()).decode()
         size, kind = self.length, self.fields.get("warc-type")
         if kind == "revisit":  # the payload is the response's; the header tells of it
             digest = self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
-            size = int(self.fields.get("x-payload-length", "-1"))
-        ids = urn("warc-record-id"), urn("warc-refers-to")
+            size = _count(self.fields.get("x-payload-length", ""))
+        ids = self.fields.get("warc-record-id"), page("warc-record-id"), page("warc-refers-to")
         return self.file, self.at, self.next, kind, *ids, self.fields.get("warc-target-uri"), size, digest, b"".join(self.body)
 
 
@@ -190,7 +206,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
 
     found = staged(runs.mapInArrow(run, CANDIDATES), "warc-candidates")
     return found.join(reachable(found), ["file", "at"]).withColumns(
-        {"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")}
+        {"page_id": F.col("page_id").try_cast("long"), "refers_to": F.col("refers_to").try_cast("long")}
     )
 
 
