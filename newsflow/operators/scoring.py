@@ -40,7 +40,7 @@ def _predict_each(predict: Predict, texts: list[str]) -> list[tuple[float | None
         raise
     except Exception as problem:
         if len(texts) == 1:
-            log.warning("a text could not be scored: %r", problem)
+            log.debug("a text could not be scored: %r", problem)
             return [(None, UNKNOWN, True)]
         half = len(texts) // 2
         return _predict_each(predict, texts[:half]) + _predict_each(predict, texts[half:])
@@ -78,6 +78,8 @@ def score_model(
         model = load()
         for texts in batches:
             rows = _predict_each(lambda part: predict(model, part), texts.tolist()) if len(texts) else []
+            if failed := sum(row[2] for row in rows):
+                log.warning("%d of %d texts could not be scored", failed, len(rows))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return df.withColumn("_scored", scored(F.col(body))).select(*df.columns, "_scored.*")
