@@ -166,12 +166,11 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                    CASE WHEN NOT contains(body, '@') THEN {_score("body", DEFAULT_KEYWORDS)} END AS bias_score,
                    published_at + INTERVAL 1 HOUR AS analysis_timestamp, contains(body, '@') AS error_flag
             FROM articles
-            WHERE article_id IN (SELECT doc_id::VARCHAR FROM documents WHERE lang IN ('en', 'fr', 'de'))
             UNION ALL
             SELECT article_id || '-2', article_id,
                    CASE WHEN NOT contains(body, '@') THEN {_score("body", SECOND_KEYWORDS)} END,
-                   published_at + INTERVAL 1 DAY, contains(body, '@')
-            FROM articles WHERE article_id IN (SELECT doc_id::VARCHAR FROM labels)
+                   published_at + CASE WHEN article_id::BIGINT % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 30 MINUTE END, contains(body, '@')
+            FROM articles
         )""",
     ),
     "scored_articles": (

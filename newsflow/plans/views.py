@@ -24,9 +24,6 @@ THRESHOLD = 24
 # A second word list: fragments that are frequent in the given documents.
 SECOND_KEYWORDS = ("the", "and", "ing", "tion", "chein", "este", "ent", "que", "eran", "sch")
 
-# Languages the first scoring run covers; other documents have a record only if they are labelled.
-SCORED_LANGUAGES = ("en", "fr", "de")
-
 # Arrival of events in waves: those with an id divisible by LATE_EVERY come LATE_DAYS late.
 WAVE_DAYS, LATE_DAYS, LATE_EVERY = 11, 3, 50
 
@@ -143,12 +140,12 @@ class Views:
     def articles(self) -> DataFrame:
         return articles_of(self.documents)
 
-    def _records(self, rows: DataFrame, run: int, score: Column, after: str) -> DataFrame:
-        scored = rows.select(
+    def _records(self, run: int, score: Column, after: Column) -> DataFrame:
+        scored = self.articles.select(
             F.concat("article_id", F.lit(f"-{run}")).alias("record_id"),
             "article_id",
             score.alias("_score"),
-            (F.col("published_at") + F.expr(after)).alias("analysis_timestamp"),
+            (F.col("published_at") + after).alias("analysis_timestamp"),
             F.contains(F.col("body"), F.lit("@")).alias("error_flag"),
         ).withColumn("bias_score", F.when(~F.col("error_flag"), F.col("_score")))
         return scored.select(
@@ -162,12 +159,12 @@ class Views:
 
     @cached_property
     def bias_records(self) -> DataFrame:
-        """A first run over three languages and a second run, with other words, over the labelled documents."""
-        first = articles_of(self.documents.filter(F.col("lang").isin(*SCORED_LANGUAGES)))
-        second = articles_of(self.documents.join(self.table("labels"), "doc_id", "left_semi"))
-        return self._records(first, 1, keyword_score(F.col("body")), "INTERVAL 1 HOUR").unionByName(
-            self._records(second, 2, keyword_score(F.col("body"), SECOND_KEYWORDS), "INTERVAL 1 DAY")
-        )
+        """Two runs over all documents, the second with other words; it came later for every second document. Documents with
+        an at sign could not be scored."""
+        even = F.col("article_id").cast("bigint") % 2 == 0
+        later = F.when(even, F.make_dt_interval(days=F.lit(1))).otherwise(F.make_dt_interval(mins=F.lit(30)))
+        second = self._records(2, keyword_score(F.col("body"), SECOND_KEYWORDS), later)
+        return self._records(1, keyword_score(F.col("body")), F.make_dt_interval(hours=F.lit(1))).unionByName(second)
 
     @cached_property
     def raw_json(self) -> DataFrame:
