@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ from newsflow.schemas import UNKNOWN_PLATFORM
 RANGES = {"1H": "INTERVAL 1 HOUR", "24H": "INTERVAL 24 HOURS", "7D": "INTERVAL 7 DAYS", "30D": "INTERVAL 30 DAYS"}
 BUCKET = "4 hours"
 
+# Keywords that one pass over the texts looks for.
+KEYWORDS_AT_ONCE = 50_000
+
 
 def heatmap(scored_articles: DataFrame) -> DataFrame:
     """Articles per source and colour band, one row per source."""
@@ -80,33 +86,62 @@ def velocity_series(
     return series.withColumn("is_peak", F.coalesce(F.col("value") == highest, F.lit(False)))
 
 
+def _mentions(words: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts, per task, the texts of either period that hold each word: one walk over a text finds all words in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for number, word in enumerate(words):
+            automaton.add_word(word, number)
+        automaton.make_automaton()
+        counts = ([0] * len(words), [0] * len(words))
+        for batch in batches:
+            for text, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                of_period = counts[0 if now else 1]
+                for number in {number for _, number in automaton.iter(text)}:
+                    of_period[number] += 1
+        seen = [i for i, both in enumerate(zip(*counts, strict=True)) if any(both)]
+        columns = [pa.array([words[i] for i in seen], pa.string()), *(pa.array([c[i] for i in seen], pa.int64()) for c in counts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["_word", "current", "previous"])
+
+    return count
+
+
 def keyword_salience(
     articles: DataFrame,
-    keywords: Sequence[str],
+    keywords: Sequence[str] | DataFrame,
     period: str = "INTERVAL 7 DAYS",
     text: str = "body",
     ts: str = "published_at",
+    at_once: int = KEYWORDS_AT_ONCE,
 ) -> DataFrame:
     """Articles that mention each keyword in the last period against the one before, ranked by change.
 
-    One pass with two counters per keyword; nothing is exploded. Change is null for a keyword the earlier
-    period does not have.
+    ``keywords`` is a list or a table with one column of texts, of any length. The words travel to the tasks, ``at_once`` of
+    them in one pass over the texts and further ones in further passes, so neither a plan nor a task grows with their number.
+    An empty keyword is in every text. Change is null for a keyword the earlier period does not have.
     """
+    spark = articles.sparkSession
+    given = keywords if isinstance(keywords, DataFrame) else spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    listed = given.select(F.col(given.columns[0]).alias("keyword")).filter("keyword is not null").distinct()
+    listed = listed.withColumn("_word", F.lower("keyword"))
     newest = articles.select(F.max(ts).alias("newest")).scalar()
     span = F.expr(period)
     recent = articles.filter(F.col(ts) > newest - span - span).select(
-        (F.col(ts) > newest - span).alias("_now"), F.lower(F.col(text)).alias("_text")
-    )
-    counters = []
-    for i, word in enumerate(keywords):
-        found = F.contains(F.col("_text"), F.lit(word.lower()))
-        counters += [F.count_if(found & F.col("_now")).alias(f"n{i}"), F.count_if(found & ~F.col("_now")).alias(f"p{i}")]
-    rows = F.array(
-        *(
-            F.struct(F.lit(word).alias("keyword"), F.col(f"n{i}").alias("current"), F.col(f"p{i}").alias("previous"))
-            for i, word in enumerate(keywords)
-        )
+        F.lower(F.col(text)).alias("_text"), (F.col(ts) > newest - span).alias("_now")
     )
+    recent = recent.filter("_text is not null")
+    words, passes = listed.select("_word").distinct(), []
+    number = max(1, -(-words.count() // at_once))
+    for turn in range(number):
+        part = words.filter((F.pmod(F.xxhash64("_word"), F.lit(number)) == turn) & (F.col("_word") != ""))
+        names = sorted(r["_word"] for r in part.collect())  # about ``at_once`` words
+        if names:
+            passes.append(recent.mapInArrow(_mentions(names), "_word string, current long, previous long"))
+    everywhere = recent.agg(F.lit("").alias("_word"), F.count_if("_now").alias("current"), F.count_if(~F.col("_now")).alias("previous"))
+    found = reduce(DataFrame.unionByName, passes, everywhere)
+    sums = found.groupBy("_word").agg(F.sum("current").alias("current"), F.sum("previous").alias("previous"))
+    counted = listed.join(sums, "_word", "left").select("keyword", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("current", "previous")))
     change = F.when(F.col("previous") > 0, (F.col("current") - F.col("previous")) * 100.0 / F.col("previous"))
     ranked = F.rank().over(W.orderBy(F.col("change").desc_nulls_last(), F.col("keyword")))
-    return recent.agg(*counters).select(F.inline(rows)).withColumn("change", change).withColumn("rank", ranked)
+    return counted.withColumn("change", change).withColumn("rank", ranked)

@@ -773,3 +773,10 @@ def velocity_series(v: Views) -> DataFrame:
 @_query
 def keyword_salience(v: Views) -> DataFrame:
     return metrics.keyword_salience(v.articles, SECOND_KEYWORDS)
+
+
+@_query
+def keyword_salience_table(v: Views) -> DataFrame:
+    """Every word of the benchmark texts as a keyword."""
+    words = v.table("benchmark").select(F.explode(F.split("text", r"\s+")).alias("keyword")).filter("keyword != ''")
+    return metrics.keyword_salience(v.articles, words)

@@ -935,5 +935,19 @@ def statements() -> dict[str, str]:
                 GROUP BY 1
             )""",
         ),
+        "keyword_salience_table": _with(
+            ("articles",),
+            """
+            SELECT *, rank() OVER (ORDER BY change DESC NULLS LAST, keyword)::INTEGER AS rank
+            FROM (
+                SELECT *, CASE WHEN previous > 0 THEN round((current - previous) * 100.0::DOUBLE / previous, 10) END AS change
+                FROM (
+                    SELECT keyword, count(*) FILTER (is_now AND contains(body, lower(keyword))) AS current,
+                           count(*) FILTER (NOT is_now AND contains(body, lower(keyword))) AS previous
+                    FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS keyword FROM benchmark),
+                         (SELECT lower(body) AS body, published_at > t - INTERVAL 7 DAY AS is_now
+                          FROM articles, (SELECT max(published_at) AS t FROM articles) WHERE published_at > t - INTERVAL 14 DAY)
+                    WHERE keyword <> '' GROUP BY keyword))""",
+        ),
         "keyword_salience": _with(("articles",), _salience()).replace(")\n,", "),", 1),
     }

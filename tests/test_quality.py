@@ -81,3 +81,25 @@ def test_lag_of_a_progress_report(spark):
     }
     lags = lag.partition_lag(*progress_offsets(spark, "scoring", report)).collect()
     assert {(r.topic, r.partition): r.lag for r in lags} == {("raw-news", 0): 15, ("raw-news", 1): 0}
+
+
+def test_salience_of_many_keywords(spark):
+    """Words of one pass and of several passes; overlaps, repeats, capitals, empty and unknown words."""
+    from datetime import datetime, timedelta
+
+    from newsflow.operators import metrics
+
+    bodies = ["The cat sat", "concatenate THE", "", None, "cat cat", "dog"]
+    rows = [(b, datetime(2024, 1, 20) - timedelta(days=2 * i)) for i, b in enumerate(bodies)]
+    articles = spark.createDataFrame(rows, "body string, published_at timestamp_ntz")
+    words = ["cat", "the", "Cat", "at", "", "zebra", "dog", "cat", None]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    wanted = {
+        w: tuple(sum(w.lower() in b.lower() for b in bodies[part] if b is not None) for part in (slice(0, 4), slice(4, 6)))
+        for w in words
+        if w is not None
+    }
+    for at_once in (50_000, 2):
+        found = metrics.keyword_salience(articles, table, at_once=at_once).collect()
+        assert {r.keyword: (r.current, r.previous) for r in found} == wanted and len(found) == len(wanted)
+        assert sorted(r["rank"] for r in found) == list(range(1, len(found) + 1))
