@@ -9,12 +9,13 @@ from newsflow.llm.common import staged
 from newsflow.operators.joins import join_group_totals
 
 
-def _star(links: DataFrame, only_smaller: bool) -> DataFrame:
-    """Hang the neighbours of every node (the larger ones, or the smaller ones) below its smallest neighbour."""
+def _star(links: DataFrame, only_smaller: bool, number: int) -> DataFrame:
+    """Hang the neighbours of every node (the larger ones, or the smaller ones) below its smallest neighbour.
+    ``number`` is the number of links or somewhat more."""
     if not only_smaller:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"), F.count("*").alias("links"))
-    hung = join_group_totals(links, least, ["u"], "links", spread=F.col("v"))
+    hung = join_group_totals(links, least, ["u"], "links", spread=F.col("v"), number=number)
     if only_smaller:
         ends = F.explode(F.array("u", "v"))
         return hung.select(ends.alias("u"), F.col("least").alias("v")).filter("u != v")
@@ -38,4 +39,5 @@ def components(links: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         mark = seen
-        now = staged(_star(_star(now, False).distinct(), True).distinct(), "links")
+        # Each link is seen from both ends, so twice their number bounds the rows of either step.
+        now = staged(_star(_star(now, False, 2 * seen[0]), True, 2 * seen[0]).distinct(), "links")

@@ -10,9 +10,13 @@ share one with a chance of 0.262^12, one in ten million, of similarity 0.8 one i
 Documents with equal sets are one class, and only classes are indexed. Whoever shares a key is a candidate; links are
 confirmed on the full sets. Since the result is components, not links, candidates are taken in rounds. First every class
 is compared with one class of each of its keys, drawn by a hash. What that confirms is connected. Where a key still holds
-several components, the classes outside its most frequent component are compared with one class of that, twice over. At
-last, those that are still outside are compared with all classes of the other components there. Every candidate pair is thus compared or known to be connected already; a
-group of thousands of near copies costs a few comparisons for each member and not all its pairs.
+several components, the classes outside its most frequent component are compared with one class of that.
+
+The classes of keys that are still open then meet by their rarest shingles. In one order by frequency, two sets of
+similarity 0.75 share a shingle among the first n - ceil(6n/7) + 1 of the smaller one and the first n - ceil(3n/4) + 1 of the
+larger one, at places that leave room for the rest of what they share. So no pair is lost, and a passage that
+thousands of unlike texts have in common brings none together: it is frequent, and its shingles come last. Every pair is
+thus compared or known to be connected already; a group of thousands of near copies costs a few comparisons for each member.
 
 Null ids can't be linked: such rows are their own component (null) and stay. Rows that share an id are one document.
 Null, empty and wordless texts have empty sets and are linked with nothing.
@@ -27,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsflow.llm.common import packed, staged, unpacked
@@ -37,7 +42,6 @@ SHINGLE = 5
 CHUNKS, CHUNK = 12, 4
 SYMBOLS = CHUNKS * CHUNK
 LINK_OF_100 = 75
-STAR_ROUNDS = 2
 KEPT_WORDS = 1_000_000
 SKETCHES = "doc_id long, n_shingles long, set_key binary, keys array<long>"
 SETS = "node long, shingles array<long>"
@@ -182,21 +186,48 @@ def _open_keys(shared: DataFrame, found: DataFrame, salt: int) -> DataFrame:
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links. What was found goes in as a link of every node to its component, not as all links
-    that led there; few rounds are left for such stars."""
+    that led there; few rounds are left for such stars. Without further links nothing changes."""
+    links = staged(links, "confirmed")
+    if links.isEmpty():
+        return found
     known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(known.unionByName(links))
 
 
+def _rare_shingles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(shingle, node, component, n, place) of the shingles that several of the nodes have, as far as the larger set of a pair
+    needs them. ``place`` counts from 1, the rarest shingle of the set first."""
+    own = nodes.join(sets, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    several = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    common = join_group_totals(own, several, ["shingle"], "members", spread=F.col("node"))
+    of_node = W.partitionBy("node")
+    # Shingles of one node alone come first and are left out; their number is known.
+    place = F.col("n") - F.count(F.lit(1)).over(of_node) + F.row_number().over(of_node.orderBy("members", "shingle"))
+    reach = F.col("n") - F.ceil(F.col("n") * LINK_OF_100 / 100) + 1
+    return common.withColumn("place", place).filter(F.col("place") <= reach).drop("members")
+
+
+def _near_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may be similar enough, none of them left out."""
+    rare = staged(_rare_shingles(nodes, sets), "rare-shingles")
+    left = rare.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * LINK_OF_100 / (100 + LINK_OF_100)) + 1).alias("x")
+    right = rare.alias("y")
+    x, y = ({c: F.col(f"{side}.{c}") for c in rare.columns} for side in "xy")
+    smaller = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["node"] < y["node"]))
+    alike = 100 * x["n"] >= LINK_OF_100 * y["n"]
+    room = F.least(x["n"] - x["place"], y["n"] - y["place"]) + 1
+    fits = (100 + LINK_OF_100) * room >= LINK_OF_100 * (x["n"] + y["n"])
+    met = left.join(right, (x["shingle"] == y["shingle"]) & smaller & alike & fits & (x["component"] != y["component"]))
+    return met.select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")).distinct()
+
+
 def _connected(shared: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of all classes that are linked with others."""
     found = components(_confirmed(_ordered(shared, "node", "star"), sets))
-    for salt in range(1, STAR_ROUNDS + 1):
-        fewer = _open_keys(shared, found, salt).filter("component != most")
-        found = _joined(found, _confirmed(_ordered(fewer, "node", "star"), sets))
-    still_open = _open_keys(shared, found, 0)
-    fewer = still_open.filter("component != most").select("key", F.col("node").alias("a"), F.col("component").alias("_c"))
-    others = still_open.select("key", F.col("node").alias("b"), "component")
-    pairs = staged(_ordered(fewer.join(others, "key").filter("_c != component"), "a", "b"), "remaining")
+    fewer = _open_keys(shared, found, 1).filter("component != most")
+    found = _joined(found, _confirmed(_ordered(fewer, "node", "star"), sets))
+    still_open = _open_keys(shared, found, 0).select("node", "component").distinct()
+    pairs = staged(_near_pairs(still_open, sets), "remaining")
     return _joined(found, _confirmed(pairs, sets))
 
 
