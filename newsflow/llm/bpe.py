@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import cache
 
@@ -51,7 +51,7 @@ class SuffixAutomaton:
 
     def __init__(self, tokens: dict[str, int]) -> None:
         self.next: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, ...]] = [()]  # lengths of the tokens that end in the state, longest first
+        self.ends: list[tuple[tuple[int, str], ...]] = [()]  # the tokens that end in the state with their lengths, longest first
         for token in tokens:
             state = 0
             for letter in token:
@@ -60,7 +60,7 @@ class SuffixAutomaton:
                     self.next.append({})
                     self.ends.append(())
                 state = self.next[state][letter]
-            self.ends[state] = (len(token),)
+            self.ends[state] = ((len(token), token),)
         self.fail = [0] * len(self.next)
         queue = deque(self.next[0].values())
         while queue:
@@ -107,7 +107,8 @@ class Tokenizer:
         self.automaton = SuffixAutomaton({t: i for t, i in self.ids.items() if t != END})
         self.letters = byte_letters()
         self.edges: dict[str, tuple[list, list] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.after: defaultdict[str, dict[str, bool]] = defaultdict(dict)  # whether a token may follow another
+        self.pairs = 0
         self.known: dict[bytes, tuple[int, bytes, str]] = {}
 
     def symbols(self, word: str) -> list[str]:
@@ -146,21 +147,24 @@ class Tokenizer:
         merged into its own token. Of equal ranks the leftmost merge goes first. An empty left tests the right alone.
         """
         ends, starts = self.spines(left) if left else None, self.spines(right)
+        if self.pairs >= KEPT_PAIRS:
+            for row in self.after.values():
+                row.clear()
+            self.pairs = 0
+        self.pairs += 1
+        known = self.after[left]
         if starts is None or not left:
-            self.pairs[left, right] = starts is not None
-            return starts is not None
-        key = (left, right)
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
+            known[right] = starts is not None
+            return known[right]
         none, i, j = len(self.ranks), 0, 0
         (before, own), (after, other) = ends[1][0], starts[0][0]
         while True:
             across = self.ranks.get((before, after), none)
             if across < own and across <= other and across < none:
-                self.pairs[key] = False
+                known[right] = False
                 return False
             if own == none and other == none:
-                self.pairs[key] = True
+                known[right] = True
                 return True
             if own <= other:
                 i += 1
@@ -172,21 +176,23 @@ class Tokenizer:
     def last_tokens(self, word: str) -> list[str | None]:
         """The last token of every prefix of the word; a prefix that cuts the end mark off has none."""
         n, state = len(word), 0
-        step, ends, pairs = self.automaton.step, self.automaton.ends, self.pairs.get
+        children, fail, ends, after = self.automaton.next, self.automaton.fail, self.automaton.ends, self.after
         last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
+        follows: list[dict[str, bool] | None] = [None] * (n + 1)  # what may follow the last token of each prefix
+        last[0], follows[0] = "", after[""]
         for end, letter in enumerate(word, 1):
-            state = step(state, letter)
+            while (found := children[state].get(letter)) is None and state:
+                state = fail[state]
+            state = found or 0
             if end == n - 1:
                 continue  # the last letter and its mark are one symbol
-            for length in ends[state]:
-                before = last[end - length]
-                if before is None:
+            for length, token in ends[state]:
+                row = follows[end - length]
+                if row is None:
                     continue
-                token = word[end - length : end]
-                fits = pairs((before, token))
-                if fits or fits is None and self.compatible(before, token):
-                    last[end] = token
+                fits = row.get(token)
+                if fits or fits is None and self.compatible(last[end - length], token):
+                    last[end], follows[end] = token, after[token]
                     break
         return last
 
@@ -203,9 +209,11 @@ class Tokenizer:
 
     def run(self, run: bytes) -> tuple[int, bytes, str]:
         """Number of tokens, ids as 32-bit integers, and the tokens shown, of a run without ASCII white space."""
-        letters, tokens = self.letters, []
-        for word in self.words.findall(run.decode()):
-            tokens += self.encode_word("".join([letters[b] for b in word.encode()]) + END)
+        text, tokens = run.decode(), []
+        for word in self.words.findall(text):
+            # Printable ASCII is written as itself.
+            spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            tokens += self.encode_word(spelled + END)
         ids = array("i", [self.ids[t] for t in tokens]).tobytes()
         if len(self.known) >= KEPT_RUNS:
             self.known.clear()
