@@ -37,7 +37,7 @@ from newsflow.llm.importance import slices
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 SHARDS, CELLS = 2, 1 << 22
-SLICE = 8 << 20
+SLICE = 4 << 20
 NEVER = 255
 ENDS, NO_LANG = r"[.,;:!?\x0A-\x0D]", "und"
 COUNTS = "lang string, n int, phrase string, started int, occurrences long"
@@ -82,27 +82,37 @@ def phrase_counts(
     texts: pa.Array, langs: pa.Array, step: int, shards: int, since: list[np.ndarray]
 ) -> Iterator[pa.RecordBatch]:
     """Rows of ``COUNTS`` for the phrases that are being counted at this step."""
-    lists = pc.split_pattern_regex(pc.replace_substring(pc.ascii_lower(texts), "\t", " "), ENDS)
-    every, text_of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
-    for at, pieces in slices(every, SLICE):
-        split = pc.split_pattern(pieces, " ")
-        words, of = pc.list_flatten(split), pc.list_parent_indices(split)
-        there = pc.not_equal(words, "")
-        words, of = words.filter(there).dictionary_encode(), of.filter(there).to_numpy()
-        if len(of):
-            lang = langs.take(pa.array(text_of[at + of])).dictionary_encode()
-            yield from _slice_counts(words, of, lang, step, shards, since)
+    for begin, some in slices(texts, SLICE):
+        lists = pc.split_pattern_regex(pc.replace_substring(pc.ascii_lower(some), "\t", " "), ENDS)
+        every, text_of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        del lists
+        for at, pieces in slices(every, SLICE):  # several only where one text is larger
+            split = pc.split_pattern(pieces, " ")
+            words, of = pc.list_flatten(split), pc.list_parent_indices(split)
+            there = pc.not_equal(words, "")
+            words, of = words.filter(there).dictionary_encode(), of.filter(there).to_numpy()
+            del split, there
+            if len(of):
+                lang = langs.take(pa.array(begin + text_of[at + of])).dictionary_encode()
+                yield from _slice_counts(words, of.astype(np.int32), lang, step, shards, since)
+
+
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, and for each number the place of its own among them."""
+    coded = pa.array(numbers).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def _slice_counts(words, of, lang, step: int, shards: int, since: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     ids, langs = words.indices.to_numpy().astype(np.int64), lang.indices.to_numpy().astype(np.int64)
     # Words of one language are numbered by ``code``; ``spelled`` has the words of every code.
-    codes, at = np.unique(langs * len(words.dictionary) + ids, return_inverse=True)
+    codes, at = _distinct(langs * len(words.dictionary) + ids)
+    totals = np.bincount(langs, minlength=len(lang.dictionary))
+    del ids, langs
     lang_of, spelled = codes // len(words.dictionary), (codes % len(words.dictionary))[:, None]
     hashes = in_language(word_hashes(words.dictionary)[spelled[:, 0]], word_hashes(lang.dictionary)[lang_of])
     started = np.zeros(len(codes), dtype=np.int64)
     if step < shards:
-        totals = np.bincount(langs, minlength=len(lang.dictionary))
         yield _batch(lang.dictionary, 0, pa.array([""] * len(totals)), np.zeros(len(totals), dtype=np.int64), totals)
     place = np.arange(len(at))  # where the phrase of each entry of ``at`` begins
     for length in range(1, len(since) + 2):
@@ -118,13 +128,13 @@ def _slice_counts(words, of, lang, step: int, shards: int, since: list[np.ndarra
         table = since[length - 1]
         active = table[cell_of(hashes, len(table))].astype(np.int64)
         # Two active phrases that begin at neighbouring words of one piece make a longer one.
-        code_at = np.full(len(of) + 1, -1, dtype=np.int64)
+        code_at = np.full(len(of) + 1, -1, dtype=np.int32)
         use = active[at] <= step
         code_at[place[use]] = at[use]
         place = np.flatnonzero((code_at[:-1] >= 0) & (code_at[1:] >= 0))
         place = place[of[place] == of[place + 1]]
-        first, second = code_at[place], code_at[place + 1]
-        pairs, at = np.unique(first * len(codes) + second, return_inverse=True)
+        first, second = code_at[place].astype(np.int64), code_at[place + 1].astype(np.int64)
+        pairs, at = _distinct(first * len(codes) + second)
         first, second = pairs // len(codes), pairs % len(codes)
         started = np.maximum(active[first], active[second])
         hashes = joined_hashes(hashes[first], hashes[second])
