@@ -186,7 +186,7 @@ class ByQuiet(_Windows):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = list(rows)  # a few for each Arrow batch of the input
         newest, timer = self._seen.get() or (None, None)
-        edge = 0 if newest is None else newest - self._delay_ms
+        edge = -(1 << 62) if newest is None else newest - self._delay_ms
         _, late = self._take(_key(key), rows, edge)
         yield from late
         if timer is not None:
