@@ -32,7 +32,7 @@ from newsflow.llm.common import packed
 SPACES = "\t-\r \x85\xa0  -     　"
 # Fixed value: the split pattern of the tokenizer file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-KEPT_RUNS = 400_000
+KEPT_RUNS = 300_000
 KEPT_PAIRS = 1_000_000
 OUTPUT_TOKENS = 1_000_000
 END = "\n"  # stands for the end-of-word mark; no byte is written as this character
@@ -210,7 +210,8 @@ class Tokenizer:
     def run(self, run: bytes) -> tuple[int, bytes, str]:
         """Number of tokens, ids as 32-bit integers, and the tokens shown, of a run without ASCII white space."""
         text, tokens = run.decode(), []
-        for word in self.words.findall(text):
+        # Letters alone are one word.
+        for word in [text] if text.isascii() and text.isalpha() else self.words.findall(text):
             # Printable ASCII is written as itself.
             spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
             tokens += self.encode_word(spelled + END)
