@@ -606,7 +606,9 @@ def live_tables_stream(v: Views) -> DataFrame:
     stream = v.spark.readStream.schema(v.messages.schema).parquet(f"{place}/in")
     drain_batches(stream, stream_live.save_live(f"{place}/out", "first", _now(), ["message_id"]))
     read = [
-        v.spark.read.parquet(f"{place}/out/{name}").select(F.lit(name).alias("name"), F.col(key).alias("key"))
+        buckets.read_buckets(v.spark, f"{place}/out/{name}", T.StructType([T.StructField(key, T.StringType())])).select(
+            F.lit(name).alias("name"), F.col(key).alias("key")
+        )
         for name, key in stream_live.LIVE_KEYS.items()
     ]
     topics = upserts.read_upserted(v.spark, f"{place}/out/trending").select(
