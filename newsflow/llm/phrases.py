@@ -126,7 +126,8 @@ def _slice_counts(words, of, lang, step: int, shards: int, since: list[np.ndarra
         if length > len(since):
             return
         table = since[length - 1]
-        active = table[cell_of(hashes, len(table))].astype(np.int64)
+        # A cell may be active before the phrase itself is counted, set by another phrase; the phrase is not.
+        active = np.maximum(table[cell_of(hashes, len(table))], started)
         # Two active phrases that begin at neighbouring words of one piece make a longer one.
         code_at = np.full(len(of) + 1, -1, dtype=np.int32)
         use = active[at] <= step

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from newsflow.llm import importance, phrases, quality
 
@@ -224,6 +225,20 @@ def test_frequent_phrases_equal_brute_force(docs, shards, cells):
     assert sorted(map(tuple, found)) == wanted and any(w[1] == 4 for w in wanted)
 
 
+def test_a_phrase_in_a_foreign_cell_waits_for_its_words(spark):
+    """A longer phrase whose parts lie in cells that others have set earlier is still counted for a full cycle."""
+    r = random.Random(209)
+    shards, cells, many = r.choice([2, 2, 3]), r.choice([64, 128, 256, 512]), r.choice([6, 12, 20])
+    words, often = [f"w{i}" for i in range(many)], [1 / (i + 1) for i in range(many)]
+    texts = [[" ".join(r.choices(words, often, k=r.randint(0, 30))) for _ in range(r.randint(0, 12))] for _ in range(shards)]
+    least = r.choice([2, 3, 5])
+    dealt = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).collect()
+    rows = [(d.id, text, "en") for i in range(shards) for d, text in zip([d for d in dealt if d.shard == i], texts[i], strict=False)]
+    found = phrases.frequent_phrases(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least, 4, shards, cells)
+    counts = plain_counts([(lang, text) for _, text, lang in rows], 4)
+    assert sorted(map(tuple, found.collect())) == sorted((*k, n) for k, n in counts.items() if n >= least)
+
+
 def plain_collocations(counts, least, top):
     candidates = {k: n for k, n in counts.items() if k[1] >= 2 and n >= least}
     found = []
