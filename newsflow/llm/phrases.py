@@ -40,7 +40,9 @@ SHARDS, CELLS = 2, 1 << 22
 SLICE = 4 << 20
 NEVER = 255
 ENDS, NO_LANG = r"[.,;:!?\x0A-\x0D]", "und"
-COUNTS = "lang string, n int, phrase string, started int, occurrences long"
+# ``kind`` is the number of words and the first step, as n * FIRST + started: a phrase has just one.
+COUNTS = "lang string, kind int, phrase string, occurrences long"
+FIRST = 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,6 +137,14 @@ def _slice_counts(words, of, lang, step: int, shards: int, since: list[np.ndarra
         place = np.flatnonzero((code_at[:-1] >= 0) & (code_at[1:] >= 0))
         place = place[of[place] == of[place + 1]]
         first, second = code_at[place].astype(np.int64), code_at[place + 1].astype(np.int64)
+        # Of those counted before, only the active ones are still looked at: longer phrases begin or end with them.
+        over = np.flatnonzero(np.maximum(active[first], active[second]) + shards <= step)
+        needed = np.ones(len(place), dtype=bool)
+        needed[over] = False
+        if length < len(since) and len(over):
+            cells = cell_of(joined_hashes(hashes[first[over]], hashes[second[over]]), len(since[length]))
+            needed[over] = since[length][cells] <= step
+        place, first, second = place[needed], first[needed], second[needed]
         pairs, at = _distinct(first * len(codes) + second)
         first, second = pairs // len(codes), pairs % len(codes)
         started = np.maximum(active[first], active[second])
@@ -144,9 +154,8 @@ def _slice_counts(words, of, lang, step: int, shards: int, since: list[np.ndarra
 
 
 def _batch(lang: pa.Array, n: int, phrase: pa.Array, started: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [lang, pa.array(np.full(len(lang), n, dtype=np.int32)), phrase.cast(pa.string())]
-    columns += [pa.array(started.astype(np.int32)), pa.array(counts.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "n", "phrase", "started", "occurrences"])
+    columns = [lang, pa.array((n * FIRST + started).astype(np.int32)), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "phrase", "occurrences"])
 
 
 def _cell_words(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
@@ -209,24 +218,26 @@ def frequent_phrases(
                 yield from phrase_counts(batch.column(0), batch.column(1), step, shards, tables.value)
 
         found = dealt.filter(F.col("shard") == step % shards).select("text", "lang").mapInArrow(count, COUNTS)
-        found = found.withColumn("before", F.lit(0).cast("long"))
         if open_counts is not None:
-            found = found.unionByName(open_counts.withColumn("before", F.col("occurrences")))
+            found = found.unionByName(open_counts)
+        ended = F.col("kind") % FIRST + shards == step + 1
+        often = F.col("occurrences") >= least
+        # Rare phrases that have been counted in all shards are not needed any more.
         totals = staged(
-            found.groupBy("lang", "n", "phrase")
-            .agg(F.max("started").alias("started"), F.sum("occurrences").alias("occurrences"), F.sum("before").alias("before")),
+            found.groupBy("lang", "kind", "phrase").agg(F.sum("occurrences").alias("occurrences")).filter(~ended | often),
             f"phrases-{step}",
         )
         tables.destroy()
-        ended = F.col("started") + shards == step + 1
-        done.append(totals.filter(ended & (F.col("occurrences") >= least)))
-        open_counts = totals.filter(~ended).drop("before")
-        fresh = totals.filter((F.col("occurrences") >= least) & (F.col("before") < least) & F.col("n").between(1, longest - 1))
-        words = fresh.select("lang", "n", "phrase").mapInArrow(lambda b: _cell_words(b, cells), "n int, word long, bits long")
+        n = F.expr(f"kind div {FIRST}").cast("int").alias("n")
+        done.append(totals.filter(ended).select("lang", n, "phrase", "occurrences"))
+        open_counts = totals.filter(~ended)
+        # Those that were frequent before have their cells, which stay as they are.
+        words = totals.filter(often).select("lang", n, "phrase").filter(F.col("n").between(1, longest - 1))
+        words = words.mapInArrow(lambda b: _cell_words(b, cells), "n int, word long, bits long")
         rows = words.groupBy("n", "word").agg(F.bit_or("bits").alias("bits")).collect()  # at most cells / 64 of each n
         if _activate(since, rows, step + 1):
             newest = step + 1
-    return reduce(DataFrame.unionByName, done).select("lang", "n", "phrase", "occurrences")
+    return reduce(DataFrame.unionByName, done)
 
 
 def scored_phrases(frequent: DataFrame) -> DataFrame:
