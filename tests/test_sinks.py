@@ -81,6 +81,19 @@ def test_articles_once_records_always(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).count() == 4
 
 
+def test_a_replay_moves_no_other_column_than_the_key(spark, tmp_path, monkeypatch):
+    path, batch = str(tmp_path / "t"), spark.createDataFrame([("1", "x"), (None, "y"), ("1", "z")], "id string, body string")
+    sinks.insert_if_absent(batch, path, "id", ["body"], None, {})
+    stored = sorted(map(str, spark.read.parquet(path).collect()))
+    assert len(stored) == 2
+    calls, absent_rows = [], sinks.absent_rows
+    monkeypatch.setattr(sinks, "absent_rows", lambda *given: calls.append(1) or absent_rows(*given))
+    sinks.insert_if_absent(batch, path, "id", ["body"], None, {})
+    assert calls == [] and sorted(map(str, spark.read.parquet(path).collect())) == stored
+    sinks.insert_if_absent(batch.union(spark.createDataFrame([("2", "w")], batch.schema)), path, "id", ["body"], None, {})
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_sound_and_broken_rows_part(spark, tmp_path):
     batch = spark.createDataFrame([("1", None), ("2", "title"), ("3", None)], "articleId string, error_reason string")
     write = sinks.save_validated(str(tmp_path / "ok"), str(tmp_path / "bad"), "first")
