@@ -43,7 +43,7 @@ STRONG, WEAK = (0.01, 20.0, 6.0), (0.03, 4.0, 2.0)  # share of the toxic documen
 BEGINNINGS = (4, 5, 6, 7)
 MOST_CANDIDATES, MOST_HARMLESS = 50_000, 50_000
 WINDOW, REPORT_WINDOW = 6, 4
-KEPT_WORDS, KEPT_STATES = 500_000, 100_000
+KEPT_WORDS, KEPT_STATES = 150_000, 30_000
 RIDGE = 0.01
 WORD = re.compile(r"[^\W_]+(?:[@$*!]+[^\W_]+)*")
 ADDRESS = frozenset("you your youre u ur du dich dir dein euch ihr tu te toi vous votre vos tú usted ustedes".split())
@@ -352,12 +352,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """Each row in a struct ``_row`` with its score and ``predicted``."""
-    rows = packed(docs, F.col("text").alias("_text"))
+    rows, place = packed(docs), docs.columns.index("text")
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, score double"
 
     def run(batches):
         for batch in batches:
-            scores = pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())
+            scores = pa.array([model.score(t.as_py()) for t in batch.column(0).field(place)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["_row", "score"])
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
