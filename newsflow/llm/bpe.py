@@ -9,7 +9,8 @@ The tokenizer file names its parts (normalizer NFC, white space and lower case;
 an end-of-word mark; no decoder). A file of another build is refused. Null texts count as empty. Decoding joins the tokens
 by blanks, which is what a file without a decoder asks for.
 
-Words repeat, so each Python worker keeps the encodings of runs between blanks it met, up to a fixed number.
+Words repeat, so each Python worker keeps the encodings of runs between blanks it met, up to a fixed number: their ids
+alone, from which Arrow's kernels make the decoded texts.
 """
 
 from __future__ import annotations
@@ -23,20 +24,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import packed
-
 SPACES = "\t-\r \x85\xa0  -     　"
 # Fixed value: the split pattern of the tokenizer file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 KEPT_RUNS = 300_000
-KEPT_PAIRS = 1_000_000
-OUTPUT_TOKENS = 1_000_000
+KEPT_PAIRS = 400_000
+OUTPUT_TOKENS = 250_000
 END = "\n"  # stands for the end-of-word mark; no byte is written as this character
-OUTPUT = pa.schema([("_at", pa.int32()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+ID_BYTES = 4
 
 
 def byte_letters() -> dict[int, str]:
@@ -98,10 +98,11 @@ class Tokenizer:
         def own(token: str) -> str:
             return token[: -len(mark)] + END if token.endswith(mark) else token
 
-        self.shown = {own(t): t for t in model["vocab"]}
         self.ids = {own(t): i for t, i in model["vocab"].items()}
         self.ranks = {(own(a), own(b)): r for r, (a, b) in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        shown = {i: t for t, i in (model["vocab"] | self.special).items()}
+        self.shown = pa.array([shown.get(i) for i in range(max(shown) + 1)], pa.string())  # by id
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.words = regex.compile(SPLIT.replace(r"\s", SPACES))
         self.automaton = SuffixAutomaton({t: i for t, i in self.ids.items() if t != END})
@@ -109,7 +110,7 @@ class Tokenizer:
         self.edges: dict[str, tuple[list, list] | None] = {}
         self.after: defaultdict[str, dict[str, bool]] = defaultdict(dict)  # whether a token may follow another
         self.pairs = 0
-        self.known: dict[bytes, tuple[int, bytes, str]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def symbols(self, word: str) -> list[str]:
         """Letters of bytes; the last one carries the end mark."""
@@ -207,38 +208,36 @@ class Tokenizer:
             at -= len(token)
         return tokens[::-1]
 
-    def run(self, run: bytes) -> tuple[int, bytes, str]:
-        """Number of tokens, ids as 32-bit integers, and the tokens shown, of a run without ASCII white space."""
+    def run(self, run: bytes) -> bytes:
+        """The ids, as 32-bit integers, of a run without ASCII white space."""
         text, tokens = run.decode(), []
         # Letters alone are one word.
         for word in [text] if text.isascii() and text.isalpha() else self.words.findall(text):
             # Printable ASCII is written as itself.
             spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
             tokens += self.encode_word(spelled + END)
-        ids = array("i", [self.ids[t] for t in tokens]).tobytes()
         if len(self.known) >= KEPT_RUNS:
             self.known.clear()
-        found = self.known[run] = (len(tokens), ids, " ".join([self.shown[t] for t in tokens]))
+        found = self.known[run] = array("i", [self.ids[t] for t in tokens]).tobytes()
         return found
 
-    def parts(self, text: str) -> list[tuple[int, bytes, str]]:
-        """The runs and special tokens of a text in order; no token spans white space."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text's runs and special tokens in order; no token spans white space."""
         if "<|" not in text:
             return self.plain(text)
         found, at = [], 0
         for special in self.cut.finditer(text):
-            found += self.plain(text[at : special.start()])
-            found.append((1, np.int32(self.special[special.group()]).tobytes(), special.group()))
+            found.append(self.plain(text[at : special.start()]))
+            found.append(np.int32(self.special[special.group()]).tobytes())
             at = special.end()
-        return found + self.plain(text[at:])
+        return b"".join([*found, self.plain(text[at:])])
 
-    def plain(self, text: str) -> list[tuple[int, bytes, str]]:
+    def plain(self, text: str) -> bytes:
         if not text.isascii():
             # The tokenizer lowers letter by letter; Python has one rule for a sigma that ends a word.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         known, run = self.known.get, self.run
-        found = [known(w) or run(w) for w in text.lower().encode().split()]
-        return found if text.isascii() else [p for p in found if p[0]]
+        return b"".join([run(w) if (ids := known(w)) is None else ids for w in text.lower().encode().split()])
 
 
 @cache
@@ -247,40 +246,34 @@ def load(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _rows(rows: list[tuple[int, list]]) -> pa.RecordBatch:
-    counts = [sum([p[0] for p in parts]) for _, parts in rows]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-    ids = np.frombuffer(b"".join([p[1] for _, parts in rows for p in parts]), dtype=np.int32)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([at for at, _ in rows], pa.int32()),
-            pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
-            pa.array([" ".join([p[2] for p in parts]) for _, parts in rows], pa.string()),
-        ],
-        schema=OUTPUT,
-    )
+def _arrays(encoded: list[bytes], shown: pa.StringArray) -> list[pa.Array]:
+    """The ids of each text as a list, and the texts decoded from them."""
+    offsets = pa.array(np.cumsum([0, *map(len, encoded)]) // ID_BYTES, pa.int32())
+    ids = pa.array(np.frombuffer(b"".join(encoded), dtype=np.int32), pa.int32())
+    decoded = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, shown.take(ids)), " ")
+    return [pa.ListArray.from_arrays(offsets, ids), decoded]
 
 
 def encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ids and decoded to each batch; sends it on in parts of about a million tokens."""
+    """Adds ids and decoded to each batch; sends it on in parts of about ``OUTPUT_TOKENS`` tokens."""
     tokenizer = load(path)
     for batch in batches:
-        rows, pending, first = [], 0, 0
+        encoded, pending, first = [], 0, 0
         texts = batch.column(batch.schema.get_field_index("_text"))
         for at in range(batch.num_rows):
-            parts = tokenizer.parts(texts[at].as_py())
-            rows.append((at, parts))
-            pending += 4 * len(parts)
+            ids = tokenizer.encode(texts[at].as_py())
+            encoded.append(ids)
+            pending += len(ids) // ID_BYTES
             if pending >= OUTPUT_TOKENS or at == batch.num_rows - 1:
-                made = _rows(rows)
-                kept = batch.slice(first, len(rows)).select(["_row"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, *made.columns[1:]], names=["_row", "ids", "decoded"])
-                rows, pending, first = [], 0, at + 1
+                kept = batch.slice(first, len(encoded)).column(batch.schema.get_field_index("_row"))
+                yield pa.RecordBatch.from_arrays([kept, *_arrays(encoded, tokenizer.shown)], names=["_row", "ids", "decoded"])
+                encoded, pending, first = [], 0, at + 1
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Each row in a struct ``_row`` with its token ids and the text decoded from them."""
-    rows = packed(docs, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
+    """Each row in a struct ``_row``, of all columns or those in ``keep``, with its token ids and the text decoded from them."""
+    kept = F.struct(*[docs[f"`{c}`"] for c in keep or docs.columns]).alias("_row")
+    rows = docs.select(kept, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +284,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def encode_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode(docs.select("doc_id", "text"), tokenizer_path)
+    encoded = encode(docs, tokenizer_path, keep=["doc_id"])  # the text goes to Python once and does not come back
     return encoded.select(
         F.col("_row.doc_id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

@@ -8,9 +8,11 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tokenizers
 import xxhash
@@ -221,6 +223,33 @@ def test_bpe_equals_the_library(docs, none):
     assert bpe.encode_report(none, tokenizer_path()).count() == 0
 
 
+def test_bpe_keeps_ids_alone():
+    def held(value):
+        return sys.getsizeof(value) + (sum(map(held, value)) if isinstance(value, tuple) else 0)
+
+    tokenizer = bpe.Tokenizer(tokenizer_path())
+    for i in range(2000):
+        tokenizer.run(f"word{i}".encode())
+    assert sum(held(k) + held(v) for k, v in tokenizer.known.items()) < 120 * len(tokenizer.known)
+
+
+def test_bpe_sends_on_no_more_tokens_than_allowed(monkeypatch):
+    monkeypatch.setattr(bpe, "OUTPUT_TOKENS", 50)
+    texts = [*[t or "" for t in TEXTS], "", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["_row", "_text"])
+    made = list(bpe.encode_batches(tokenizer_path(), [batch]))
+    assert [i for b in made for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(map(len, b.column(1).to_pylist()[:-1])) < 50 for b in made)
+
+
+def test_bpe_report_gets_no_text_back(docs):
+    plan = bpe.encode_report(docs, tokenizer_path())._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert "text" not in plan.output().head().dataType().simpleString()
+    assert bpe.encode(docs, tokenizer_path()).schema["_row"].dataType.names == docs.columns
+
+
 def test_warc_round_trip_with_records_inside_payloads(rows):
     inner = "a WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 99999\r\n\r\nzz"
     html = ["<p>é", inner, None, "", "<p>é", "end WARC/1.0", "\r\n\r\nWARC/1.0\r\n\r\n\r\n", inner]
